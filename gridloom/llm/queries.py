@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from gridloom.llm.fair_mix import op6_fair_mix
+from gridloom.llm.harmonic_pack import op9_harmonic_pack
 from gridloom.llm.histogram_sort import op4_histogram_sort
 from gridloom.llm.robust_outliers import op7_quality_rules
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_histogram_sort": op4_histogram_sort,
     "op6_fair_mix": op6_fair_mix,
     "op7_quality_rules": op7_quality_rules,
+    "op9_harmonic_pack": op9_harmonic_pack,
 }
 
 ORACLE_SQL: dict[str, str] = {}

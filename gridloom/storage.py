@@ -7,8 +7,10 @@ that setting is absent (tests, notebooks) is a local folder chosen.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint, for small tables inside loops."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where it lies, besides what they find themselves.
+
+    Enough on one machine; on a cluster the package is installed or sent with --py-files.
+    """
+    here = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, here])
+    return spark

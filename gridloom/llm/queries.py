@@ -6,6 +6,7 @@ from gridloom.llm.fair_mix import op6_fair_mix
 from gridloom.llm.harmonic_pack import op9_harmonic_pack
 from gridloom.llm.histogram_sort import op4_histogram_sort
 from gridloom.llm.robust_outliers import op7_quality_rules
+from gridloom.llm.vp_tree import op8_vp_tree
 from gridloom.llm.warc_zip import op3_warc_zip
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_histogram_sort": op4_histogram_sort,
     "op6_fair_mix": op6_fair_mix,
     "op7_quality_rules": op7_quality_rules,
+    "op8_vp_tree": op8_vp_tree,
     "op9_harmonic_pack": op9_harmonic_pack,
 }
 

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gridloom.llm.hashed import compact
+
 #: Words that one worker remembers; when full, it starts anew.
 CACHE_WORDS = 500_000
 #: Letters whose lower case and normal form do not hang on their neighbours, then ASCII signs but the apostrophe.
@@ -90,7 +92,7 @@ class WordTokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of each text among them); null has none."""
-        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        cut = pc.ascii_split_whitespace(pc.fill_null(compact(texts).cast(pa.large_string()), ""))
         bounds = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         of_word = self._index(coded.dictionary.to_pylist())[coded.indices.to_numpy()]

@@ -18,20 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.fast_tokens import word_tokens
+from gridloom.llm.hashed import blocks
 from gridloom.storage import ship
 
 CAPACITY = 4096
 LEAST_COUNT = 32
 END_ID = 2
-#: Text bytes that are encoded at once.
-BLOCK_BYTES = 8 << 20
-
 _FIELDS = ("row", "start", "length", "crc", "total")
 
 
@@ -141,7 +138,7 @@ def _pack(path: str, capacity: int, end_id: int, id_column: str):
             return batch(rows | {"row": np.arange(len(names))}, names, type_)
 
         type_ = pa.int64()
-        for part in (b.slice(i, n) for b in batches for i, n in _blocks(b)):
+        for part in (b.slice(i, n) for b in batches for i, n in blocks(b.column(1))):
             type_ = part.column(0).type
             flat, bounds = tokens.encode(part.column(1))
             # the end id follows each document
@@ -168,17 +165,6 @@ def _pack(path: str, capacity: int, end_id: int, id_column: str):
     return run
 
 
-def _blocks(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of blocks of about BLOCK_BYTES of text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < b.num_rows:
-        upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_BYTES, "right"))
-        upto = max(at + 1, min(upto, b.num_rows))
-        yield at, upto - at
-        at = upto
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id") -> DataFrame:
     """Pieces of the documents (``id_column``, text) and their places in sequences of ``capacity`` ids.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from gridloom.llm.fair_mix import op6_fair_mix
 from gridloom.llm.harmonic_pack import op9_harmonic_pack
 from gridloom.llm.histogram_sort import op4_histogram_sort
+from gridloom.llm.importance_resample import op5_importance_resample
+from gridloom.llm.jaccard_join import op10_jaccard_join
 from gridloom.llm.robust_outliers import op7_quality_rules
 from gridloom.llm.vp_tree import op8_vp_tree
 from gridloom.llm.warc_zip import op3_warc_zip
@@ -12,10 +14,12 @@ from gridloom.llm.warc_zip import op3_warc_zip
 QUERIES = {
     "op3_warc_zip": op3_warc_zip,
     "op4_histogram_sort": op4_histogram_sort,
+    "op5_importance_resample": op5_importance_resample,
     "op6_fair_mix": op6_fair_mix,
     "op7_quality_rules": op7_quality_rules,
     "op8_vp_tree": op8_vp_tree,
     "op9_harmonic_pack": op9_harmonic_pack,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,33 +1,72 @@
-"""The corpus pipeline: documents through the stages below, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written and read again.
+
+Documents that the quality rules reject go first, then those that importance resampling towards the labelled good
+ones does not draw; of each group of similar texts one stays; sources are mixed to their target weights, a document
+that is served twice being there twice; the mix is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm.fair_mix import mixed_documents
+from gridloom.llm.harmonic_pack import default_tokenizer, pack
+from gridloom.llm.importance_resample import resample
+from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.robust_outliers import quality_rules
 from gridloom.storage import materialize
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that pass the base rules and lie near their language and source."""
     return quality_rules(docs).where("kept").select(*docs.columns)
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the labelled good ones."""
+    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar texts the document of the smallest id.
+
+    Rows without id stay, as groups are named by ids; of rows that repeat in all columns one stays.
+    """
+    groups = materialize(jaccard_components(docs), "groups")
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return kept.select(*docs.columns)
+    return kept.select(*docs.columns).dropDuplicates()
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources; a document served twice is there twice."""
     return mixed_documents(docs)
 
 
-STAGES = [("quality rules", rules), ("mixing sources", mix)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixed documents and their places in sequences."""
+    return pack(docs, default_tokenizer())
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", classifier),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources", mix),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Word windows, determinants and tokenizers have no counterpart in SQL.
+#: Window counts, determinants, hashed models and tokenizers have no counterpart in SQL; tests use brute force.
 ORACLE_SQL = None

@@ -29,7 +29,7 @@ LABELS = 20_000
 #: Weight of the raw model in the target's, as a share of a count per bucket.
 PRIOR = 0.1
 #: Share of held-out target documents that may weigh less than the cut, and how far noise reaches down.
-MISS, REACH = 0.001, 3.0
+MISS, REACH = 0.001, 5.0
 #: Values that one selection step may bring to the driver.
 FEW = 10_000
 SEED = 11

@@ -6,10 +6,10 @@ share a token among the first few of either (their prefixes) in *every* global o
 1. A sketch of token frequencies over all texts ranks common tokens last in each order; among tokens of
    one rank each order has a hash of its own. Orders are free, so an approximate rank costs no exactness.
 2. The first order's prefixes are exchanged by token. Sets that meet at a token are chained in random order:
-   as many pairs as sets. Chained pairs that also share prefix tokens in the other orders are verified.
+   as many pairs as sets. Sizes, the token's places and an exact bound on the overlap (bitmaps of the sets) rule
+   most chance meetings out; the rest are verified if they also share prefix tokens in the other orders.
 3. Linked sets need no further pairs among themselves, as components are asked for. Where a token still joins
-   several components, all pairs across components are taken, but for those that sizes or an exact bound on the
-   overlap (bitmaps of the sets) rule out; they pass the other orders' filters and are verified in turn.
+   several components, all pairs across components that those bounds allow go the same way.
 
 So groups of copies, of near copies and of sets with a common passage never become all their pairs, and no
 link between components is lost: a pair that is never looked at is in one component already.
@@ -46,6 +46,9 @@ BROADCAST_IDS = 200_000
 _SALTS = [np.uint64(0), *(mix(np.arange(1, 1 + MORE_ORDERS, dtype=np.uint64)))]
 
 
+FIRST = ["doc_id", "node", "n", "bitmap", "chunk", "counts"]
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
@@ -75,25 +78,27 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int):
 
 
 def _members_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Member rows (doc_id, node, n), then the task's share of the sketch, a row per chunk."""
+    """Member rows (doc_id, node, n, bitmap of a set that is new to the task), then the task's share of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     seen: set[int] = set()
     for part in _texts(batches, 1):
-        nodes, sizes, fresh = [], [], []
+        nodes, sizes, fresh, bitmaps = [], [], [], []
         for s in token_sets(part.column(1)):
             node = node_of(s)
             nodes.append(node)
             sizes.append(len(s))
-            if node not in seen:
+            new = len(s) and node not in seen
+            bitmaps.append(_bitmap(s).tobytes() if new else None)
+            if new:
                 seen.add(node)
                 fresh.append(s)
         if fresh:
             sketch += np.bincount((np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
         n = part.num_rows
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "node", "n", "chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], FIRST)
     chunks = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SKETCH_CHUNKS)]
     empty = pa.nulls(SKETCH_CHUNKS, pa.int64())
-    yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(chunks, pa.binary())], ["doc_id", "node", "n", "chunk", "counts"])
+    yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(SKETCH_CHUNKS, pa.binary()), pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(chunks, pa.binary())], FIRST)
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -110,10 +115,11 @@ def _ranks(counted: DataFrame) -> np.ndarray:
 
 
 def _prefix(tokens: np.ndarray, ranks: np.ndarray, order: int) -> np.ndarray:
-    """The tokens' prefix in one of the global orders."""
+    """The tokens' prefix in one of the global orders, in that order."""
     p = prefix_length(len(tokens))
     key = (mix(tokens + _SALTS[order]) >> np.uint64(8)) | (ranks[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56))
-    return tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
+    first = np.argpartition(key, p - 1)[:p] if p < len(tokens) else np.arange(p)
+    return tokens[first[np.argsort(key[first])]]
 
 
 def _deal(ranks, groups: int):
@@ -122,15 +128,16 @@ def _deal(ranks, groups: int):
     def pack(tokens: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
         flat, own = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), counts)
+        place = np.minimum(np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts), 65535).astype(np.uint16)
         group = (mix(flat) % np.uint64(groups)).astype(np.int64)
         by = np.argsort(group, kind="stable")
-        flat, own, group = flat[by], own[by], group[by]
+        flat, own, group, place = flat[by], own[by], group[by], place[by]
         ends = np.searchsorted(group, np.arange(groups + 1))
         node, size = np.array(nodes, np.int64), np.array(sizes, np.int32)
         data = []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             who, times = np.unique(own[a:b], return_counts=True)
-            data.append(np.array([b - a, len(who)], np.int64).tobytes() + flat[a:b].tobytes() + node[who].tobytes() + size[who].tobytes() + times.astype(np.int32).tobytes())
+            data.append(np.array([b - a, len(who)], np.int64).tobytes() + flat[a:b].tobytes() + node[who].tobytes() + size[who].tobytes() + times.astype(np.int32).tobytes() + place[a:b].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(range(groups), pa.int32()), pa.array(data, pa.binary())], ["g", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,40 +161,43 @@ def _deal(ranks, groups: int):
     return run
 
 
-def _alike(small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    return DEN * small >= NUM * large
+def _need(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Least overlap of sets of m and n tokens that reaches the threshold."""
+    return -(-NUM * (m + n) // (NUM + DEN))
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """kind 0: pairs (x, y) chained at a token; kind 1: (token x, node y) of tokens with three nodes or more."""
+    """kind 0: pairs (x, y) chained at a token; kind 1: (token x, node y, place) of tokens with three nodes or more."""
     parts = ([], [])
     for raw in table["data"]:
         raw = raw.as_py()
         n, k = np.frombuffer(raw, np.int64, 2)
         at = 16 + 8 * n
         node, size = np.frombuffer(raw, np.int64, k, at), np.frombuffer(raw, np.int32, k, at + 8 * k)
-        times = np.frombuffer(raw, np.int32, k, at + 12 * k)
+        times, place = np.frombuffer(raw, np.int32, k, at + 12 * k), np.frombuffer(raw, np.uint16, n, at + 16 * k)
         # tokens lie by set within a group
         parts[0].append(np.frombuffer(raw, np.uint64, n, 16))
-        parts[1].append(np.stack([np.repeat(node, times), np.repeat(size.astype(np.int64), times)]))
-    token, (node, size) = np.concatenate(parts[0]), np.concatenate(parts[1], axis=1)
+        parts[1].append(np.stack([np.repeat(node, times), np.repeat(size.astype(np.int64), times), place.astype(np.int64)]))
+    token, (node, size, place) = np.concatenate(parts[0]), np.concatenate(parts[1], axis=1)
     by = np.lexsort((mix(token ^ node.astype(np.uint64)), token))
-    token, node, size = token[by], node[by], size[by]
+    token, node, size, place = token[by], node[by], size[by], place[by]
     # equal sets from several tasks lie side by side
     own = np.ones(len(token), bool)
     own[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-    token, node, size = token[own], node[own], size[own]
+    token, node, size, place = token[own], node[own], size[own], place[own]
     same = token[1:] == token[:-1]
-    fit = same & _alike(np.minimum(size[1:], size[:-1]), np.maximum(size[1:], size[:-1]))
+    # what comes before a pair's first common token is in neither's overlap
+    fit = same & ((size - place)[1:] >= _need(size[1:], size[:-1])) & ((size - place)[:-1] >= _need(size[1:], size[:-1]))
     a, b = node[:-1][fit], node[1:][fit]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
     start = np.flatnonzero(np.concatenate([[True], ~same]))
-    runs = np.repeat(np.diff(np.concatenate([start, [len(token)]])), np.diff(np.concatenate([start, [len(token)]])))
-    many = runs >= 3
+    length = np.diff(np.concatenate([start, [len(token)]]))
+    many = np.repeat(length, length) >= 3
     x = np.concatenate([pairs[0], token[many].astype(np.int64)])
     y = np.concatenate([pairs[1], node[many]])
+    z = np.concatenate([np.zeros(pairs.shape[1], np.int64), place[many]])
     kind = np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(int(many.sum()), np.int32)])
-    return pa.table({"kind": kind, "x": x, "y": y})
+    return pa.table({"kind": kind, "x": x, "y": y, "place": z})
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -199,24 +209,35 @@ def _bitmap(tokens: np.ndarray) -> np.ndarray:
 
 
 def _load(ranks):
-    """(node, n, tokens, prefixes in the further orders, bitmap) of texts."""
+    """(groups, node, tokens, prefixes in the further orders) of texts that are what ``node`` says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for part in _texts(batches, 0):
             rows = []
-            for s in token_sets(part.column(0)):
-                if len(s) and (node := node_of(s)) not in seen:
-                    seen.add(node)
+            for s, node, groups in zip(token_sets(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if len(s) and node_of(s) == node:
                     more = b"".join(np.sort(_prefix(s, ranks.value, k)).tobytes() for k in range(1, 1 + MORE_ORDERS))
-                    rows.append((node, len(s), s.tobytes(), more, _bitmap(s).tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["node", "n", "tokens", "prefixes", "bitmap"])
+                    rows.append((groups, node, s.tobytes(), more))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            types = [pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["groups", "node", "tokens", "prefixes"])
 
     return run
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of rows (a, b, na, ba, nb, bb) whose bitmaps allow enough overlap."""
+    for batch in batches:
+        keep = []
+        for na, ba, nb, bb in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            p, q = np.frombuffer(ba, np.uint64), np.frombuffer(bb, np.uint64)
+            # only sets near the edge of a width differ in it, by one step
+            p, q = (_fold(p[None])[0] if len(p) > len(q) else p), (_fold(q[None])[0] if len(q) > len(p) else q)
+            least = _need(na, nb)
+            keep.append(len(p) == len(q) and na - int(np.bitwise_count(p & ~q).sum()) >= least and nb - int(np.bitwise_count(q & ~p).sum()) >= least)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     at = np.searchsorted(b, a)
@@ -240,15 +261,27 @@ def _verify(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
 
-def verify(pairs: DataFrame, sets: DataFrame, nodes: int) -> DataFrame:
-    """The links among ``pairs`` (a, b). Nodes are dealt into blocks, pairs into pairs of blocks, so a group holds few sets."""
-    side = max(1, -(-nodes // GROUP_NODES))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-    dealt = pairs.withColumns({"p": block("a"), "q": block("b")})
-    dealt = dealt.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-    wanted = dealt.select(F.col("p").alias("u"), F.col("q").alias("v"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    sent = wanted.join(sets.select("node", "tokens", "prefixes"), "node")
-    return dealt.groupBy("p", "q").cogroup(sent.groupBy("u", "v")).applyInArrow(_verify, "a long, b long")
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, ranks) -> DataFrame:
+    """The links among ``pairs`` (a, b), from the texts of the documents ``reps`` (node, rep) names.
+
+    Sets that pairs connect are dealt to one group, of which many small ones make up a task's; a large one is
+    cut into blocks and its pairs go to groups of two blocks, so that no group holds many sets.
+    """
+    cluster = connected_components(pairs)
+    sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP_NODES).cast("int").alias("parts"))
+    place = materialize(cluster.join(sizes, "component").select("node", "component", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block")), "places")
+    nodes = place.count()
+    groups = max(8, 2 * nodes // GROUP_NODES)
+    dealt = pairs.join(place.select(F.col("node").alias("a"), F.col("component"), F.col("block").alias("p")), "a").join(place.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
+    group = F.pmod(F.xxhash64("component", F.least("p", "q"), F.greatest("p", "q")), F.lit(groups)).cast("int")
+    dealt = materialize(dealt.select("a", "b", group.alias("g")), "dealt")
+    wanted = dealt.select("g", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_set("g").alias("groups"))
+    wanted = wanted.join(reps.select("node", "rep"), "node")
+    wanted = F.broadcast(wanted) if nodes <= BROADCAST_IDS else wanted
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node", "groups")
+    sets = texts.mapInArrow(_load(ranks), "groups array<int>, node long, tokens binary, prefixes binary")
+    sets = sets.select(F.explode("groups").alias("h"), "node", "tokens", "prefixes")
+    return dealt.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(_verify, "a long, b long")
 
 
 def _fold(bitmaps: np.ndarray) -> np.ndarray:
@@ -271,24 +304,24 @@ def _across(key, runs: pa.Table, sets: pa.Table) -> pa.Table:
             full[w // 2][mine] = _fold(full[w][mine])
     place = np.argsort(nodes, kind="stable")
     index = place[np.searchsorted(nodes[place], runs["node"].to_numpy())]
-    token, mark = runs["token"].to_numpy(), runs["half"].to_numpy()
+    token, mark, place_at = runs["token"].to_numpy(), runs["half"].to_numpy(), runs["place"].to_numpy()
     by = np.lexsort((index, token))
-    index, token, mark = index[by], token[by], mark[by]
+    index, token, mark, place_at = index[by], token[by], mark[by], place_at[by]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     found = []
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(token)], strict=True):
-        at, side = index[s:e], mark[s:e]
+        at, side, rest = index[s:e], mark[s:e], n[index[s:e]] - place_at[s:e]
         if part[at[0]] == part[at].min() == part[at].max():
             continue
         upto = np.searchsorted(n[at], n[at] * DEN // NUM, "right")
         for k, i in enumerate(at.tolist()):
-            j = at[k + 1 : upto[k]]
+            j, need = at[k + 1 : upto[k]], _need(n[i], n[at[k + 1 : upto[k]]])
+            ok = (part[j] != part[i]) & (rest[k] >= need) & (rest[k + 1 : upto[k]] >= need)
             if side[k] >= 0:  # of two blocks of a large run only pairs between them
-                j = j[side[k + 1 : upto[k]] != side[k]]
-            j = j[part[j] != part[i]]
+                ok &= side[k + 1 : upto[k]] != side[k]
+            j, need = j[ok], need[ok]
             if not len(j):
                 continue
-            need = -(-NUM * (n[i] + n[j]) // (NUM + DEN))
             for w in (words[i], 2 * words[i]):  # a set of a third more tokens has the same width or the next
                 g, want = j[words[j] == w], need[words[j] == w]
                 if len(g):
@@ -303,9 +336,9 @@ def _across(key, runs: pa.Table, sets: pa.Table) -> pa.Table:
 
 
 def _open_pairs(active: DataFrame, component: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
-    """Candidate pairs (a, b) across components among ``active`` (token, node)."""
+    """Candidate pairs (a, b) across components among ``active`` (token, node, place)."""
     label = F.coalesce("component", "node").alias("component")
-    runs = active.join(component, "node", "left").select("token", "node", label)
+    runs = active.join(component, "node", "left").select("token", "node", "place", label)
     mixed = runs.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
     runs = runs.join(mixed.select("token", F.ceil(F.col("k") / RUN_NODES).cast("int").alias("parts")), "token")
     # a run of more than RUN_NODES nodes becomes one run per two of its blocks, so no task holds all of it
@@ -313,11 +346,11 @@ def _open_pairs(active: DataFrame, component: DataFrame, sets: DataFrame, groups
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     runs = runs.withColumn("me", block).withColumn("other", other)
     run = F.xxhash64("token", F.least("me", "other"), F.greatest("me", "other"))
-    runs = runs.select(F.when(F.col("parts") == 1, F.col("token")).otherwise(run).alias("token"), "node", "component", F.when((F.col("parts") == 1) | (F.col("me") == F.col("other")), -1).otherwise(F.col("me")).alias("half"))
+    runs = runs.select(F.when(F.col("parts") == 1, F.col("token")).otherwise(run).alias("token"), "node", "place", "component", F.when((F.col("parts") == 1) | (F.col("me") == F.col("other")), -1).otherwise(F.col("me")).alias("half"))
     runs = materialize(runs.withColumn("g", F.pmod(F.xxhash64("token"), F.lit(groups)).cast("int")), "runs")
     wanted = runs.select(F.col("g").alias("h"), F.col("node").alias("id"), F.col("component").alias("part")).distinct()
     wanted = wanted.join(sets.select(F.col("node").alias("id"), "n", "bitmap"), "id")
-    pairs = runs.select("g", "token", "node", "half").groupBy("g").cogroup(wanted.groupBy("h")).applyInArrow(_across, "a long, b long")
+    pairs = runs.select("g", "token", "node", "place", "half").groupBy("g").cogroup(wanted.groupBy("h")).applyInArrow(_across, "a long, b long")
     return pairs.distinct()
 
 
@@ -329,41 +362,34 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = materialize(docs.mapInArrow(_members_and_sketch, "doc_id long, node long, n long, chunk int, counts binary"), "members")
+    schema = "doc_id long, node long, n long, bitmap binary, chunk int, counts binary"
+    first = materialize(docs.mapInArrow(_members_and_sketch, schema), "members")
     members = first.where("chunk is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
     reps = materialize(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "reps")
     total = reps.agg(F.sum("n")).first()[0]
-    nothing = spark.createDataFrame([], "a long, b long")
+    alone = reps.select("node", F.col("rep").alias("component_id"))
     if not total:
-        return members, nothing, reps.select("node", F.col("rep").alias("component_id"))
+        return members, spark.createDataFrame([], "a long, b long"), alone
     ranks = spark.sparkContext.broadcast(_ranks(first.where("chunk is not null").select("chunk", "counts")))
 
     groups = max(8, -(-total // (4 * GROUP_TOKENS)))
     dealt = docs.select("text").mapInArrow(_deal(ranks, groups), "g int, data binary")
-    met = materialize(dealt.groupBy("g").applyInArrow(_meet, "kind int, x long, y long"), "met")
+    met = materialize(dealt.groupBy("g").applyInArrow(_meet, "kind int, x long, y long, place long"), "met")
     pairs = materialize(met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    active = met.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"))
-
+    active = met.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"), "place")
+    # one bitmap per set, though several tasks may have met it
+    outlines = first.where("bitmap is not null").select("node", "n", "bitmap")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(active.select("node")).distinct()
-    wanted = materialize(wanted.join(reps, "node").select("node", "rep"), "wanted")
-    nodes = wanted.count()
-    if not nodes:
-        return members, nothing, reps.select("node", F.col("rep").alias("component_id"))
-    ids = wanted.select(F.col("rep").alias("doc_id"))
-    few = F.broadcast(ids) if nodes <= BROADCAST_IDS else ids
-    texts = docs.join(few, "doc_id", "left_semi")
-    if not ids.where("doc_id is null").isEmpty():
-        texts = texts.unionByName(docs.where("doc_id is null"))
-    sets = texts.select("text").mapInArrow(_load(ranks), "node long, n long, tokens binary, prefixes binary, bitmap binary")
-    # one row per set, though several tasks may have met it; other sets of the same ids are dropped
-    sets = sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
-
-    links = materialize(verify(pairs, sets, nodes), "links")
+    outlines = materialize(outlines.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "outlines")
+    both = pairs.join(outlines.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba")), "a")
+    both = both.join(outlines.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb")), "b")
+    near = materialize(both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(_bounded, "a long, b long"), "near")
+
+    links = materialize(verify(near, docs, reps, ranks), "links")
     component = connected_components(links)
-    more = materialize(_open_pairs(active, component, sets, max(8, nodes // 1000)), "open")
+    more = materialize(_open_pairs(active, component, outlines, max(8, outlines.count() // 1000)), "open")
     if not more.isEmpty():
-        links = links.unionByName(materialize(verify(more, sets, nodes), "links"))
+        links = links.unionByName(materialize(verify(more, docs, reps, ranks), "links"))
         component = connected_components(links)
     labelled = reps.join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.motion import at
+from gridloom.functions.motion import MATRIX, at, matrix
 
 FRAME = ("sequence_id", "frame_idx")
 
@@ -24,19 +24,19 @@ def to_world(points: DataFrame, calibration: DataFrame) -> DataFrame:
     """Points in the world frame. Those of a sensor without a pose in ``calibration`` (sensor, t) are an error,
     unless they are in the world frame already."""
     placed = points.join(calibration.select("sensor", F.col("t").alias("_t")), "sensor", "left")
-    here = F.col("coord_frame") == "world"
-    pose = F.when(here, F.lit(None)).when(F.col("_t").isNull(), F.raise_error(F.concat(F.lit("no extrinsics for sensor "), "sensor"))).otherwise(F.col("_t"))
-    moved = transform_points(placed.withColumn("_t", pose), F.col("_t"))
-    out = moved.select(*[F.when(here, placed_c).otherwise(F.col(c)).alias(c) if c in "xyz" else F.col(c) for c, placed_c in ((c, F.col(c)) for c in points.columns)])
-    kept = placed.where(here).select(*points.columns)
-    return out.where(~F.coalesce(here, F.lit(False))).unionByName(kept).withColumn("coord_frame", F.lit("world"))
+    here = F.coalesce(F.col("coord_frame") == "world", F.lit(False))
+    still = matrix([[float(i == j) for j in range(4)] for i in range(4)])
+    missing = F.raise_error(F.concat(F.lit("no extrinsics for sensor "), F.col("sensor").cast("string"))).cast(MATRIX)
+    pose = F.when(here, still).when(F.col("_t").isNull(), missing).otherwise(F.col("_t"))
+    return transform_points(placed.withColumn("_t", pose), F.col("_t")).select(*points.columns).withColumn("coord_frame", F.lit("world"))
 
 
 def select_sensors(sweeps: DataFrame, sensors: list[str]) -> DataFrame:
     """The sweeps of ``sensors``; a frame that lacks one is an error."""
     mine = sweeps.where(F.col("sensor").isin(sensors))
     found = F.size(F.collect_set("sensor").over(Window.partitionBy(*FRAME)))
-    return mine.withColumn("_n", found).withColumn("_n", F.when(F.col("_n") < len(set(sensors)), F.raise_error(F.concat(F.lit("frame lacks a sensor: "), F.col("frame_idx").cast("string")))).otherwise(F.col("_n"))).drop("_n")
+    lacks = F.raise_error(F.concat(F.lit("frame lacks a sensor: "), F.col("frame_idx").cast("string"))).cast("boolean")
+    return mine.withColumn("_n", found).where(F.when(F.col("_n") < len(set(sensors)), lacks).otherwise(F.lit(True))).drop("_n")
 
 
 def fused_frames(sweeps: DataFrame, order: list[str]) -> DataFrame:

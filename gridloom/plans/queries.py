@@ -137,9 +137,10 @@ def cluster_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT event_type, round(value * 100) AS v, count(*) AS k FROM events GROUP BY 1, 2),
 r AS (SELECT *, sum(k) OVER w AS n, sum(k * v) OVER w AS s, sum(k) OVER p AS nn, sum(k * v) OVER p AS ss FROM s
   WINDOW w AS (PARTITION BY event_type ORDER BY v), p AS (PARTITION BY event_type)),
-c AS (SELECT event_type, arg_max(v, s * s / n + (ss - s) * (ss - s) / (nn - n)) AS cut FROM r WHERE n < nn GROUP BY 1)
-SELECT event_type, CAST(count(*) FILTER (round(value * 100) <= cut) AS BIGINT) AS slow, CAST(count(*) FILTER (round(value * 100) > cut) AS BIGINT) AS fast
-FROM events JOIN c USING (event_type) GROUP BY 1""")
+b AS (SELECT event_type FROM s GROUP BY 1 HAVING NOT (max(v) < 0.3 OR min(v) > 1.5)),
+c AS (SELECT event_type, arg_max(v, s * s / n + (ss - s) * (ss - s) / (nn - n)) AS cut FROM r JOIN b USING (event_type) WHERE n < nn GROUP BY 1)
+SELECT event_type, CAST(count(*) FILTER (cut IS NULL OR round(value * 100) <= cut) AS BIGINT) AS slow, CAST(count(*) FILTER (round(value * 100) > cut) AS BIGINT) AS fast
+FROM events LEFT JOIN c USING (event_type) GROUP BY 1""")
 def split_by_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("v", F.round(F.col("value") * 100))
     parts = cluster.split_by_speed(events, "v", ["event_type"])
@@ -331,8 +332,8 @@ def overlay_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PTS_SQL}, {_OBB}, s AS (SELECT frame_idx, sensor, greatest(hu - lu, 1e-6) AS sx, greatest(hw - lw, 1e-6) AS sy, greatest(hh - lh, 1e-6) AS sz, abs(cos(yaw)) AS c, abs(sin(yaw)) AS n FROM b),
-g AS (SELECT *, sqrt(pow(c * sx + n * sy, 2) + pow(n * sx + c * sy, 2) + sz * sz) AS diag FROM s)
-SELECT frame_idx, sensor, round(diag, 6) AS diag FROM g WHERE diag BETWEEN 0.1 AND 26""")
+span AS (SELECT *, sqrt(pow(c * sx + n * sy, 2) + pow(n * sx + c * sy, 2) + sz * sz) AS diag FROM s)
+SELECT frame_idx, sensor, round(diag, 6) AS diag FROM span WHERE diag BETWEEN 0.1 AND 26""")
 def overlay_box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = overlay.drawn_boxes(cluster.cluster_geometry(pts(spark, sf_dir), ["frame_idx", "sensor"]), 0.1, 26.0)
     return boxes.select("frame_idx", "sensor", F.round(overlay.diagonal(F.col("corners")), 6).alias("diag"))

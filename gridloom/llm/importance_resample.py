@@ -2,8 +2,8 @@
 
 Two generative models over hashed word unigrams and bigrams, each a distribution over ``BUCKETS`` buckets:
 one of all the texts (raw), one of labelled good documents (target). A document's log-weight is the sum
-over its n-grams of the log-ratio of target to raw. Adding standard Gumbel noise and
-taking the k greatest draws k documents without replacement in proportion to their weights.
+over its n-grams of the log-ratio of target to raw, tempered by length. Adding standard Gumbel noise and
+taking the k greatest draws k documents without replacement in proportion to their (tempered) weights.
 
 The raw model counts every n-gram of every document. Only the labelled rows are bounded: at most
 ``LABELS``, taken by a hash order. k is not given but estimated: the number of documents weighing at least
@@ -27,9 +27,12 @@ BUCKETS = 10_000
 #: Labelled rows that a model is fitted on, at most (half of them set the cut).
 LABELS = 20_000
 #: Weight of the raw model in the target's, as a share of a count per bucket.
-PRIOR = 0.1
+PRIOR = 100.0
+#: Weights are tempered by length: the log-weight counts TEMPER / sqrt(n-grams) times. The error of a fitted log-ratio adds
+#: up along a text, so that untempered sums of long texts say more about the size of the sample than about the text.
+TEMPER = 40.0
 #: Share of held-out target documents that may weigh less than the cut, and how far noise reaches down.
-MISS, REACH = 0.001, 5.0
+MISS, REACH = 0.001, 3.0
 #: Values that one selection step may bring to the driver.
 FEW = 10_000
 SEED = 11
@@ -110,14 +113,18 @@ def gumbel(seed: int, *cols: Column) -> Column:
     return -F.log(-F.log(u))
 
 
+def tempered() -> Column:
+    return F.lit(TEMPER) * F.col("log_weight") / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
+
+
 def weigh(docs: DataFrame, ratio: np.ndarray, carry: list[str]) -> DataFrame:
-    """Columns ``carry`` of ``docs`` with n_grams, log_weight and score (log-weight plus noise)."""
+    """Columns ``carry`` of ``docs`` with n_grams, log_weight and score (tempered weight plus noise)."""
     spark = ship(docs.sparkSession)
     sent = spark.sparkContext.broadcast(ratio)
     rows = docs.select(*carry, gumbel(SEED, F.col("doc_id"), F.col("text")).alias("_noise"), F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_grams long, log_weight double"
     # scores are sums of doubles in a fixed order, so they agree between runs
-    return rows.mapInArrow(_weigh(sent, len(rows.columns) - 1), schema).withColumn("score", F.col("log_weight") + F.col("_noise")).drop("_noise")
+    return rows.mapInArrow(_weigh(sent, len(rows.columns) - 1), schema).withColumn("score", tempered() + F.col("_noise")).drop("_noise")
 
 
 def kth_greatest(values: DataFrame, k: int) -> float:
@@ -137,14 +144,14 @@ def kth_greatest(values: DataFrame, k: int) -> float:
 
 
 def selection(weighed: DataFrame, held_out: np.ndarray, any_target: bool) -> float | None:
-    """Least score that is drawn; None draws all. ``weighed`` has doc_id, log_weight, score."""
+    """Least score that is drawn; None draws all. ``weighed`` has doc_id, n_grams, log_weight, score."""
     if not any_target or not len(held_out):
         return None
     ids = weighed.sparkSession.createDataFrame([(int(i),) for i in held_out], "doc_id long")  # LABELS rows at most
-    sure = weighed.join(F.broadcast(ids), "doc_id", "left_semi").agg(F.percentile("log_weight", F.lit(MISS))).first()[0]
+    sure = weighed.join(F.broadcast(ids), "doc_id", "left_semi").agg(F.percentile(tempered(), F.lit(MISS))).first()[0]
     if sure is None:
         return None
-    k = weighed.where(F.col("log_weight") >= sure - REACH).count()
+    k = weighed.where(tempered() >= sure - REACH).count()
     return kth_greatest(weighed.select(F.col("score").alias("v")), k) if k else None
 
 

@@ -39,6 +39,8 @@ MORE_ORDERS = 2
 SKETCH_BITS, SKETCH_CHUNKS = 20, 16
 #: Prefix tokens of an exchange group, about; nodes of one side of a verification group, about.
 GROUP_TOKENS, GROUP_NODES = 400_000, 1500
+#: Nodes per group in which runs are paired across components: a set's bitmap goes to the groups of all its tokens.
+RUN_GROUP = 10_000
 #: Nodes of a token that are paired across components in one task.
 RUN_NODES = 4096
 #: Ids sent to every task at most; more are joined by a shuffle.
@@ -296,12 +298,14 @@ def _across(key, runs: pa.Table, sets: pa.Table) -> pa.Table:
     raw = sets["bitmap"].to_pylist()
     own = [np.frombuffer(raw[i], np.uint64) for i in by_size.tolist()]
     words = np.array([len(x) for x in own])
-    full = {w: np.zeros((len(own), w), np.uint64) for w in {*words.tolist(), *(w // 2 for w in words.tolist() if w > 4)}}
-    for w in set(words.tolist()):
-        mine = np.flatnonzero(words == w)
-        full[w][mine] = np.stack([own[i] for i in mine.tolist()])
-        if w > 4:
-            full[w // 2][mine] = _fold(full[w][mine])
+    # bitmaps by width, those of the next width folded in; row: where in its width's table a set stands
+    full: dict[int, np.ndarray] = {}
+    row = {w: np.zeros(len(own), np.int64) for w in {*words.tolist(), *(words // 2).tolist()}}
+    for w in row:
+        mine, wide = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+        row[w][mine], row[w][wide] = np.arange(len(mine)), len(mine) + np.arange(len(wide))
+        folded = _fold(np.stack([own[i] for i in wide.tolist()])) if len(wide) else np.empty((0, w), np.uint64)
+        full[w] = np.concatenate([np.stack([own[i] for i in mine.tolist()]) if len(mine) else np.empty((0, w), np.uint64), folded])
     place = np.argsort(nodes, kind="stable")
     index = place[np.searchsorted(nodes[place], runs["node"].to_numpy())]
     token, mark, place_at = runs["token"].to_numpy(), runs["half"].to_numpy(), runs["place"].to_numpy()
@@ -325,7 +329,7 @@ def _across(key, runs: pa.Table, sets: pa.Table) -> pa.Table:
             for w in (words[i], 2 * words[i]):  # a set of a third more tokens has the same width or the next
                 g, want = j[words[j] == w], need[words[j] == w]
                 if len(g):
-                    mine, theirs = full[words[i]][i], full[words[i]][g]
+                    mine, theirs = full[words[i]][row[words[i]][i]], full[words[i]][row[words[i]][g]]
                     lost_i = np.bitwise_count(mine & ~theirs).sum(axis=1)
                     lost_j = np.bitwise_count(theirs & ~mine).sum(axis=1)
                     ok = g[(n[i] - lost_i >= want) & (n[g] - lost_j >= want)]
@@ -387,7 +391,7 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     links = materialize(verify(near, docs, reps, ranks), "links")
     component = connected_components(links)
-    more = materialize(_open_pairs(active, component, outlines, max(8, outlines.count() // 1000)), "open")
+    more = materialize(_open_pairs(active, component, outlines, max(8, outlines.count() // RUN_GROUP)), "open")
     if not more.isEmpty():
         links = links.unionByName(materialize(verify(more, docs, reps, ranks), "links"))
         component = connected_components(links)

@@ -192,7 +192,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0
     rows, n = rows.where(F.col("d") == (top[0] if top else 0)).drop("d"), top[1] if top else 0
     blocks = max(1, -(-n // block))
     rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block"), "vp-queries")
-    trees = index.select("tree").repartition(index.count())
+    trees = index.select("tree").repartition(max(1, index.count()))
     parts = []
     for b in range(blocks):
         some = rows.where(F.col("block") == b).select("vec_id", "embedding").toArrow().sort_by("vec_id")

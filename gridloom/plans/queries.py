@@ -333,9 +333,9 @@ def overlay_ellipses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PTS_SQL}, {_OBB}, s AS (SELECT frame_idx, sensor, greatest(hu - lu, 1e-6) AS sx, greatest(hw - lw, 1e-6) AS sy, greatest(hh - lh, 1e-6) AS sz, abs(cos(yaw)) AS c, abs(sin(yaw)) AS n FROM b),
 span AS (SELECT *, sqrt(pow(c * sx + n * sy, 2) + pow(n * sx + c * sy, 2) + sz * sz) AS diag FROM s)
-SELECT frame_idx, sensor, round(diag, 6) AS diag FROM span WHERE diag BETWEEN 0.1 AND 26""")
+SELECT frame_idx, sensor, round(diag, 6) AS diag FROM span WHERE diag BETWEEN 0.1 AND 45""")
 def overlay_box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = overlay.drawn_boxes(cluster.cluster_geometry(pts(spark, sf_dir), ["frame_idx", "sensor"]), 0.1, 26.0)
+    boxes = overlay.drawn_boxes(cluster.cluster_geometry(pts(spark, sf_dir), ["frame_idx", "sensor"]), 0.1, 45.0)
     return boxes.select("frame_idx", "sensor", F.round(overlay.diagonal(F.col("corners")), 6).alias("diag"))
 
 

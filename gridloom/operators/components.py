@@ -2,8 +2,8 @@
 
 Every round re-hangs neighbours on the least vertex seen from a vertex, which halves path lengths
 without ever gathering a vertex's neighbours in one place: minima are partial aggregates, and
-the join that follows may be split where a vertex has very many edges. Rounds are written to the
-shared checkpoint folder, so a lost executor costs one round at most.
+the join that follows may be split where a vertex has very many edges. Rounds are tables in the
+shared folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.storage import checkpoint
+from gridloom.storage import discard, materialize
+
+#: Edges per partition of a round, about; small graphs go through few partitions.
+PART_EDGES, LEAST_PARTS = 50_000, 8
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,16 +33,35 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every vertex of ``edges`` (two columns of one orderable type); component is the least vertex.
 
-    Loops and rows with a null end are ignored; repeated edges count once. No edges: no rows.
+    Loops and rows with a null end are ignored; repeated edges count once. No edges: no rows. Each round replaces
+    the table of the one before.
     """
     a, b = edges.columns
-    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    now, before = checkpoint(now), None
+    now = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
+    parts, before = max(LEAST_PARTS, now.count() // PART_EDGES), None
     while True:
-        now = checkpoint(_small_star(_large_star(now)))
+        old, now = now, materialize(_small_star(_large_star(now.coalesce(parts)).coalesce(parts)).coalesce(parts), "edges")
+        discard(old)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found._scratch_path = now.__dict__.pop("_scratch_path", None)  # discard(found) deletes the last round
+    return found
+
+
+def extended_components(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of the graph of ``known`` (node, component, of :func:`connected_components`) with further ``edges`` (a, b).
+
+    Only the graph of components is solved; its vertices are those that ``edges`` touch. Vertices that ``known`` lacks are
+    components of their own.
+    """
+    named = lambda c: F.coalesce(F.col("component"), F.col(c))
+    at = edges.join(known, edges["a"] == known["node"], "left").select(named("a").alias("a"), "b")
+    at = at.join(known, at["b"] == known["node"], "left").select("a", named("b").alias("b"))
+    met = connected_components(at).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    old = known.join(met, known["component"] == met["_old"], "left").select("node", F.coalesce("_new", "component").alias("component"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti")
+    return old.unionByName(ends.join(met, ends["node"] == met["_old"]).select("node", F.col("_new").alias("component")))

@@ -8,6 +8,7 @@ that setting is absent (tests, notebooks) is a local folder chosen.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, set up as its checkpoint folder if none is."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="gridloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -34,17 +37,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
     The result has no lineage but its files, so it is read again, not computed again,
-    after an executor is lost.
+    after an executor is lost. ``discard`` removes it.
     """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint, for small tables inside loops."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing will read again; other frames are left alone."""
+    for table in tables:
+        if path := table.__dict__.pop("_scratch_path", None):
+            where = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -9,12 +9,15 @@ share a token among the first few of either (their prefixes) in *every* global o
    as many pairs as sets. Sizes, the token's places and an exact bound on the overlap (bitmaps of the sets) rule
    most chance meetings out; the rest are verified if they also share prefix tokens in the other orders.
 3. Linked sets need no further pairs among themselves, as components are asked for. Where a token still joins
-   several components, all pairs across components that those bounds allow go the same way.
+   several components, all pairs across components that those bounds allow go the same way. A token whose sets all
+   have one same shared token before it adds no pairs to that one's and is left out; tokens are dealt by
+   the least of their sets, so that tokens of one passage, with the same sets, go together.
 
 So groups of copies, of near copies and of sets with a common passage never become all their pairs, and no
 link between components is lost: a pair that is never looked at is in one component already.
 
-A token is a 64-bit hash of its words, a node the sum of its tokens' mixed hashes.
+A token is a 64-bit hash of its words, a node the sum of its tokens' mixed hashes. The exchange of prefixes tells tokens
+apart by 32 bits and their group; what meets by chance there is told apart by verification.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm.hashed import blocks, mix, window_hashes, word_hashes
-from gridloom.operators.components import connected_components
-from gridloom.storage import materialize, ship
+from gridloom.operators.components import connected_components, extended_components
+from gridloom.storage import discard, materialize, ship
 
 #: Threshold as a ratio of whole numbers: overlap / union >= NUM / DEN.
 NUM, DEN = 75, 100
@@ -37,10 +41,8 @@ WIDTH = 5
 #: Orders beyond the first.
 MORE_ORDERS = 2
 SKETCH_BITS, SKETCH_CHUNKS = 20, 16
-#: Prefix tokens of an exchange group, about; nodes of one side of a verification group, about.
-GROUP_TOKENS, GROUP_NODES = 400_000, 1500
-#: Nodes per group in which runs are paired across components: a set's bitmap goes to the groups of all its tokens.
-RUN_GROUP = 10_000
+#: Prefix tokens of an exchange group, about; pairs of a verification group; rows of a group in which runs are paired.
+GROUP_TOKENS, GROUP_PAIRS, GROUP_RUNS = 1_000_000, 2_000, 20_000
 #: Nodes of a token that are paired across components in one task.
 RUN_NODES = 4096
 #: Ids sent to every task at most; more are joined by a shuffle.
@@ -48,7 +50,7 @@ BROADCAST_IDS = 200_000
 _SALTS = [np.uint64(0), *(mix(np.arange(1, 1 + MORE_ORDERS, dtype=np.uint64)))]
 
 
-FIRST = ["doc_id", "node", "n", "bitmap", "chunk", "counts"]
+FIRST = ["doc_id", "text_hash", "node", "n", "bitmap", "chunk", "counts"]
 
 
 def prefix_length(n: int) -> int:
@@ -80,12 +82,12 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int):
 
 
 def _members_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Member rows (doc_id, node, n, bitmap of a set that is new to the task), then the task's share of the sketch."""
+    """Member rows (doc_id, text_hash, node, n, bitmap of a set that is new to the task), then the task's share of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     seen: set[int] = set()
-    for part in _texts(batches, 1):
+    for part in _texts(batches, 2):
         nodes, sizes, fresh, bitmaps = [], [], [], []
-        for s in token_sets(part.column(1)):
+        for s in token_sets(part.column(2)):
             node = node_of(s)
             nodes.append(node)
             sizes.append(len(s))
@@ -97,10 +99,10 @@ def _members_and_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         if fresh:
             sketch += np.bincount((np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
         n = part.num_rows
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], FIRST)
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], FIRST)
     chunks = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SKETCH_CHUNKS)]
     empty = pa.nulls(SKETCH_CHUNKS, pa.int64())
-    yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(SKETCH_CHUNKS, pa.binary()), pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(chunks, pa.binary())], FIRST)
+    yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(SKETCH_CHUNKS, pa.binary()), pa.array(range(SKETCH_CHUNKS), pa.int32()), pa.array(chunks, pa.binary())], FIRST)
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -131,15 +133,16 @@ def _deal(ranks, groups: int):
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
         flat, own = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), counts)
         place = np.minimum(np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts), 65535).astype(np.uint16)
-        group = (mix(flat) % np.uint64(groups)).astype(np.int64)
+        spread = mix(flat)
+        group = (spread % np.uint64(groups)).astype(np.int64)
         by = np.argsort(group, kind="stable")
-        flat, own, group, place = flat[by], own[by], group[by], place[by]
+        short, own, group, place = (spread >> np.uint64(32)).astype(np.uint32)[by], own[by], group[by], place[by]
         ends = np.searchsorted(group, np.arange(groups + 1))
         node, size = np.array(nodes, np.int64), np.array(sizes, np.int32)
         data = []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             who, times = np.unique(own[a:b], return_counts=True)
-            data.append(np.array([b - a, len(who)], np.int64).tobytes() + flat[a:b].tobytes() + node[who].tobytes() + size[who].tobytes() + times.astype(np.int32).tobytes() + place[a:b].tobytes())
+            data.append(np.array([b - a, len(who)], np.int64).tobytes() + node[who].tobytes() + size[who].tobytes() + times.astype(np.int32).tobytes() + short[a:b].tobytes() + place[a:b].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(range(groups), pa.int32()), pa.array(data, pa.binary())], ["g", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,17 +171,17 @@ def _need(m: np.ndarray, n: np.ndarray) -> np.ndarray:
     return -(-NUM * (m + n) // (NUM + DEN))
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """kind 0: pairs (x, y) chained at a token; kind 1: (token x, node y, place) of tokens with three nodes or more."""
-    parts = ([], [])
+    group, parts = np.uint64(key[0].as_py()) << np.uint64(32), ([], [])
     for raw in table["data"]:
         raw = raw.as_py()
         n, k = np.frombuffer(raw, np.int64, 2)
-        at = 16 + 8 * n
-        node, size = np.frombuffer(raw, np.int64, k, at), np.frombuffer(raw, np.int32, k, at + 8 * k)
-        times, place = np.frombuffer(raw, np.int32, k, at + 12 * k), np.frombuffer(raw, np.uint16, n, at + 16 * k)
-        # tokens lie by set within a group
-        parts[0].append(np.frombuffer(raw, np.uint64, n, 16))
+        node, size, times = np.frombuffer(raw, np.int64, k, 16), np.frombuffer(raw, np.int32, k, 16 + 8 * k), np.frombuffer(raw, np.int32, k, 16 + 12 * k)
+        at = 16 + 16 * k
+        place = np.frombuffer(raw, np.uint16, n, at + 4 * n)
+        # tokens lie by set within a group, in the order of their places
+        parts[0].append(np.frombuffer(raw, np.uint32, n, at).astype(np.uint64) | group)
         parts[1].append(np.stack([np.repeat(node, times), np.repeat(size.astype(np.int64), times), place.astype(np.int64)]))
     token, (node, size, place) = np.concatenate(parts[0]), np.concatenate(parts[1], axis=1)
     by = np.lexsort((mix(token ^ node.astype(np.uint64)), token))
@@ -203,8 +206,8 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Set bits at the tokens' hashes; four bits a token or more, but 256 at least and 8192 at most."""
-    bits = min(8192, max(256, 1 << (4 * len(tokens) - 1).bit_length()))
+    """Set bits at the tokens' hashes; two bits a token or more, but 128 at least and 8192 at most."""
+    bits = min(8192, max(128, 1 << (2 * len(tokens) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(mix(tokens + np.uint64(99)) % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -227,17 +230,19 @@ def _load(ranks):
     return run
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of rows (a, b, na, ba, nb, bb) whose bitmaps allow enough overlap."""
-    for batch in batches:
-        keep = []
-        for na, ba, nb, bb in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            p, q = np.frombuffer(ba, np.uint64), np.frombuffer(bb, np.uint64)
-            # only sets near the edge of a width differ in it, by one step
-            p, q = (_fold(p[None])[0] if len(p) > len(q) else p), (_fold(q[None])[0] if len(q) > len(p) else q)
-            least = _need(na, nb)
-            keep.append(len(p) == len(q) and na - int(np.bitwise_count(p & ~q).sum()) >= least and nb - int(np.bitwise_count(q & ~p).sum()) >= least)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+def _bounded(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs (a, b, g) whose sizes and bitmaps allow enough overlap; sets has node, n, bitmap."""
+    where = {x: i for i, x in enumerate(sets["node"].to_pylist())}
+    n, maps = sets["n"].to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in sets["bitmap"]]
+    keep = []
+    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+        i, j = where[a], where[b]
+        p, q = maps[i], maps[j]
+        # only sets near the edge of a width differ in it, by one step
+        p, q = (_fold(p[None])[0] if len(p) > len(q) else p), (_fold(q[None])[0] if len(q) > len(p) else q)
+        least = _need(n[i], n[j])
+        keep.append(len(p) == len(q) and n[i] - int(np.bitwise_count(p & ~q).sum()) >= least and n[j] - int(np.bitwise_count(q & ~p).sum()) >= least)
+    return pairs.select(["a", "b", "g"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -263,27 +268,45 @@ def _verify(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, ranks) -> DataFrame:
-    """The links among ``pairs`` (a, b), from the texts of the documents ``reps`` (node, rep) names.
+def _in_groups(pairs: DataFrame, rows: int) -> DataFrame:
+    """``pairs`` (a, b), ``rows`` of them, with a group ``g``: of about GROUP_PAIRS pairs, neighbours together where they can be.
+
+    A pair goes by the least node next to either end. The pairs of one such node are cut by blocks of their ends if they are
+    many, so that a set goes to few groups and no group gets many pairs.
+    """
+    groups = max(8, -(-rows // GROUP_PAIRS))
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    near = pairs.join(least, "a").join(least.select(F.col("a").alias("b"), F.col("m").alias("o")), "b").select("a", "b", F.least("m", "o").alias("label"))
+    near = materialize(near, "near")
+    hot = near.groupBy("label").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / GROUP_PAIRS)).cast("int").alias("parts")).where("parts > 1")
+    block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1)))
+    p, q = block("a"), block("b")
+    out = near.join(hot, "label", "left").select("a", "b", F.pmod(F.xxhash64("label", F.least(p, q), F.greatest(p, q)), F.lit(groups)).cast("int").alias("g"))
+    out = materialize(out, "dealt")
+    discard(near)
+    return out
+
+
+def _wanted(dealt: DataFrame) -> DataFrame:
+    """(node, groups) that ``dealt`` (a, b, g) needs."""
+    return dealt.select("g", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_set("g").alias("groups"))
 
-    Sets that pairs connect are dealt to one group, of which many small ones make up a task's; a large one is
-    cut into blocks and its pairs go to groups of two blocks, so that no group holds many sets.
+
+def verify(dealt: DataFrame, docs: DataFrame, reps: DataFrame, ranks) -> DataFrame:
+    """The links among ``dealt`` (a, b, group g), from the texts of the documents ``reps`` (node, rep) names.
+
+    The ids wanted are sent to every task up to BROADCAST_IDS; beyond, ids and texts are joined by a shuffle.
     """
-    cluster = connected_components(pairs)
-    sizes = cluster.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / GROUP_NODES).cast("int").alias("parts"))
-    place = materialize(cluster.join(sizes, "component").select("node", "component", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block")), "places")
-    nodes = place.count()
-    groups = max(8, 2 * nodes // GROUP_NODES)
-    dealt = pairs.join(place.select(F.col("node").alias("a"), F.col("component"), F.col("block").alias("p")), "a").join(place.select(F.col("node").alias("b"), F.col("block").alias("q")), "b")
-    group = F.pmod(F.xxhash64("component", F.least("p", "q"), F.greatest("p", "q")), F.lit(groups)).cast("int")
-    dealt = materialize(dealt.select("a", "b", group.alias("g")), "dealt")
-    wanted = dealt.select("g", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_set("g").alias("groups"))
-    wanted = wanted.join(reps.select("node", "rep"), "node")
-    wanted = F.broadcast(wanted) if nodes <= BROADCAST_IDS else wanted
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node", "groups")
+    wanted = materialize(_wanted(dealt), "wanted")
+    small = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
+    named = small(wanted.join(reps.select("node", "rep"), "node"))
+    texts = docs.join(named, docs["doc_id"].eqNullSafe(named["rep"])).select("text", "node", "groups")
     sets = texts.mapInArrow(_load(ranks), "groups array<int>, node long, tokens binary, prefixes binary")
     sets = sets.select(F.explode("groups").alias("h"), "node", "tokens", "prefixes")
-    return dealt.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(_verify, "a long, b long")
+    links = materialize(dealt.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(_verify, "a long, b long"), "links")
+    discard(wanted)
+    return links
 
 
 def _fold(bitmaps: np.ndarray) -> np.ndarray:
@@ -339,41 +362,54 @@ def _across(key, runs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
 
 
-def _open_pairs(active: DataFrame, component: DataFrame, sets: DataFrame, groups: int) -> DataFrame:
+def _open_pairs(active: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) across components among ``active`` (token, node, place)."""
     label = F.coalesce("component", "node").alias("component")
     runs = active.join(component, "node", "left").select("token", "node", "place", label)
-    mixed = runs.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
-    runs = runs.join(mixed.select("token", F.ceil(F.col("k") / RUN_NODES).cast("int").alias("parts")), "token")
+    runs = runs.withColumn("prev", F.lag("token").over(Window.partitionBy("node").orderBy("place", "token")))
+    told = runs.groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k"), F.count("prev").alias("after"),
+        F.min("prev").alias("prev_lo"), F.max("prev").alias("prev_hi"), F.min("node").alias("first"),
+    )
+    # where all sets of a token have one same shared token before it, their pairs meet there
+    told = told.where("lo <> hi and not (after = k and prev_lo = prev_hi)")
+    runs = runs.drop("prev").join(told.select("token", "first", F.ceil(F.col("k") / RUN_NODES).cast("int").alias("parts")), "token")
     # a run of more than RUN_NODES nodes becomes one run per two of its blocks, so no task holds all of it
     block = F.pmod(F.xxhash64("node", "token"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     runs = runs.withColumn("me", block).withColumn("other", other)
     run = F.xxhash64("token", F.least("me", "other"), F.greatest("me", "other"))
-    runs = runs.select(F.when(F.col("parts") == 1, F.col("token")).otherwise(run).alias("token"), "node", "place", "component", F.when((F.col("parts") == 1) | (F.col("me") == F.col("other")), -1).otherwise(F.col("me")).alias("half"))
-    runs = materialize(runs.withColumn("g", F.pmod(F.xxhash64("token"), F.lit(groups)).cast("int")), "runs")
-    wanted = runs.select(F.col("g").alias("h"), F.col("node").alias("id"), F.col("component").alias("part")).distinct()
+    whole = F.col("parts") == 1
+    runs = runs.select(
+        F.when(whole, F.col("token")).otherwise(run).alias("token"), "node", "place", "component",
+        F.when(whole | (F.col("me") == F.col("other")), -1).otherwise(F.col("me")).alias("half"), F.xxhash64(F.when(whole, F.col("first")).otherwise(run)).alias("deal"),
+    )
+    runs = materialize(runs, "runs")
+    groups = max(8, runs.count() // GROUP_RUNS)
+    dealt = runs.withColumn("g", F.pmod("deal", F.lit(groups)).cast("int"))
+    wanted = dealt.select(F.col("g").alias("h"), F.col("node").alias("id"), F.col("component").alias("part")).distinct()
     wanted = wanted.join(sets.select(F.col("node").alias("id"), "n", "bitmap"), "id")
-    pairs = runs.select("g", "token", "node", "place", "half").groupBy("g").cogroup(wanted.groupBy("h")).applyInArrow(_across, "a long, b long")
-    return pairs.distinct()
+    pairs = dealt.select("g", "token", "node", "place", "half").groupBy("g").cogroup(wanted.groupBy("h")).applyInArrow(_across, "a long, b long")
+    out = materialize(pairs.distinct(), "open")
+    discard(runs)
+    return out
 
 
 def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, classes) of ``docs`` (doc_id, text).
 
-    members: doc_id, node, n_shingles of each row. links: verified pairs (a, b) of nodes, enough to connect
-    all that similar pairs connect. classes: node, component_id (least doc_id that links reach).
+    members: doc_id, text_hash, node, n_shingles of each row. links: verified pairs (a, b) of nodes, enough to connect
+    all that similar pairs connect. classes: node, component (a node), component_id (least doc_id that links reach).
     """
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, node long, n long, bitmap binary, chunk int, counts binary"
-    first = materialize(docs.mapInArrow(_members_and_sketch, schema), "members")
-    members = first.where("chunk is null").select("doc_id", "node", F.col("n").alias("n_shingles"))
+    schema = "doc_id long, text_hash long, node long, n long, bitmap binary, chunk int, counts binary"
+    first = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_members_and_sketch, schema), "members")
+    members = first.where("chunk is null").select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"))
     reps = materialize(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "reps")
     total = reps.agg(F.sum("n")).first()[0]
-    alone = reps.select("node", F.col("rep").alias("component_id"))
     if not total:
-        return members, spark.createDataFrame([], "a long, b long"), alone
+        return members, spark.createDataFrame([], "a long, b long"), reps.select("node", F.col("node").alias("component"), F.col("rep").alias("component_id"))
     ranks = spark.sparkContext.broadcast(_ranks(first.where("chunk is not null").select("chunk", "counts")))
 
     groups = max(8, -(-total // (4 * GROUP_TOKENS)))
@@ -385,19 +421,25 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     outlines = first.where("bitmap is not null").select("node", "n", "bitmap")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(active.select("node")).distinct()
     outlines = materialize(outlines.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "outlines")
-    both = pairs.join(outlines.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba")), "a")
-    both = both.join(outlines.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb")), "b")
-    near = materialize(both.select("a", "b", "na", "ba", "nb", "bb").mapInArrow(_bounded, "a long, b long"), "near")
+    dealt = _in_groups(pairs, pairs.count())
+    maps = _wanted(dealt).join(outlines, "node").select(F.explode("groups").alias("h"), "node", "n", "bitmap")
+    near = materialize(dealt.groupBy("g").cogroup(maps.groupBy("h")).applyInArrow(_bounded, "a long, b long, g int"), "near")
+    discard(pairs, dealt)
 
-    links = materialize(verify(near, docs, reps, ranks), "links")
+    links = verify(near, docs, reps, ranks)
     component = connected_components(links)
-    more = materialize(_open_pairs(active, component, outlines, max(8, outlines.count() // RUN_GROUP)), "open")
-    if not more.isEmpty():
-        links = links.unionByName(materialize(verify(more, docs, reps, ranks), "links"))
-        component = connected_components(links)
+    more = _open_pairs(active, component, outlines)
+    discard(near, met, outlines)
+    if rows := more.count():
+        dealt = _in_groups(more, rows)
+        further = verify(dealt, docs, reps, ranks)
+        discard(dealt)
+        known, component = component, extended_components(component, further)
+        links = links.unionByName(further)
     labelled = reps.join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = labelled.join(least, "component").select("node", "component_id")
+    classes = materialize(labelled.join(least, "component").select("node", "component", "component_id"), "classes")
+    discard(reps, more, component, *([known] if rows else []))
     return members, links, classes
 
 
@@ -406,12 +448,36 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Null texts and texts without words have no shingles and are components of their own. Equal texts are linked.
     Null ids take part; a component of nothing else has component_id null. Rows that share an id each go by their own text.
+    Further columns, whatever their names, are not looked at.
     """
     members, _, classes = jaccard_classes(docs)
-    classes = materialize(classes, "classes")
     out = members.join(classes, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) that stay when of each component one does, that of the least id, null last.
+
+    Rows without words all stay. Rows that repeat an id and text are one document: one of them stays. Those that go are sent to
+    every task up to BROADCAST_IDS; beyond, they are joined by a shuffle.
+    """
+    members, _, classes = jaccard_classes(docs)
+    rows = members.where("n_shingles > 0").join(classes.select("node", "component"), "node")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    stays = rows.groupBy("component").agg(F.min(key).alias("k"))
+    rows = rows.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(stays, "component")
+    judged = materialize(rows.select("doc_id", "text_hash", "n", (key == F.col("k")).alias("stays")).where("n > 1 or not stays"), "judged")
+    small = F.broadcast if judged.count() <= BROADCAST_IDS else (lambda x: x)
+    hashed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    listed = judged.select(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2"), "stays")
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2"))
+    kept = hashed.join(small(listed.drop("stays")), same, "left_anti").select(*docs.columns)
+    if judged.where("stays").isEmpty():
+        return kept
+    again = hashed.join(small(listed.where("stays")), same, "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return kept.unionByName(again)
+
+
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Digest of the components of all documents: doc_id, n_shingles, component_id."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

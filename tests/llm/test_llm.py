@@ -460,3 +460,13 @@ def test_pipeline_stages(spark, small):
             total = out.agg(F.sum("length")).first()[0]
             assert total == sum(r.doc_tokens for r in out.where("start = 0").collect())
         docs = spark.createDataFrame(rows, small.schema) if name != names[-1] else out
+
+
+def test_one_row_of_each_component_stays(spark, awkward):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, base, "en", "a", 1), (3, base + " more", "en", "a", 1), (3, "something else of seven words in all", "en", "a", 1), (3, base + " more", "en", "b", 2), (None, base, None, None, None), (None, "alone " * 9, None, None, None), (9, None, None, None, None), (9, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({"_hash": F.lit("clash"), "node": F.lit("clash")})
+    out = jaccard_join.one_per_component(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:5]) for r in out.collect()) == [(False, 3, "somet"), (False, 3, "w0 w1"), (False, 9, ""), (False, 9, ""), (True, 0, "alone")]
+    assert jaccard_join.one_per_component(awkward.limit(0)).count() == 0

@@ -8,12 +8,11 @@ that is served twice being there twice; the mix is packed into sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm.fair_mix import mixed_documents
 from gridloom.llm.harmonic_pack import default_tokenizer, pack
 from gridloom.llm.importance_resample import resample
-from gridloom.llm.jaccard_join import jaccard_components
+from gridloom.llm.jaccard_join import one_per_component
 from gridloom.llm.robust_outliers import quality_rules
 from gridloom.storage import materialize
 
@@ -29,16 +28,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts the document of the smallest id.
-
-    Rows without id stay, as groups are named by ids; of rows that repeat in all columns one stays.
-    """
-    groups = materialize(jaccard_components(docs), "groups")
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return kept.select(*docs.columns)
-    return kept.select(*docs.columns).dropDuplicates()
+    """Of each group of similar texts the document of the smallest id; repeated rows of one id and text count as one."""
+    return one_per_component(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

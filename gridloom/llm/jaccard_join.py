@@ -42,11 +42,13 @@ WIDTH = 5
 MORE_ORDERS = 2
 SKETCH_BITS, SKETCH_CHUNKS = 20, 16
 #: Prefix tokens of an exchange group, about; pairs of a verification group; rows of a group in which runs are paired.
-GROUP_TOKENS, GROUP_PAIRS, GROUP_RUNS = 1_000_000, 2_000, 20_000
+GROUP_TOKENS, GROUP_PAIRS, GROUP_RUNS = 2_000_000, 2_000, 100_000
 #: Nodes of a token that are paired across components in one task.
 RUN_NODES = 4096
 #: Ids sent to every task at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Places in a prefix are cut below this; it marks the first token of a set within a group.
+FIRST_OF_SET = np.uint16(1 << 15)
 _SALTS = [np.uint64(0), *(mix(np.arange(1, 1 + MORE_ORDERS, dtype=np.uint64)))]
 
 
@@ -132,7 +134,7 @@ def _deal(ranks, groups: int):
     def pack(tokens: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
         flat, own = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), counts)
-        place = np.minimum(np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts), 65535).astype(np.uint16)
+        place = np.minimum(np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts), FIRST_OF_SET - 1).astype(np.uint16)
         spread = mix(flat)
         group = (spread % np.uint64(groups)).astype(np.int64)
         by = np.argsort(group, kind="stable")
@@ -141,8 +143,9 @@ def _deal(ranks, groups: int):
         node, size = np.array(nodes, np.int64), np.array(sizes, np.int32)
         data = []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            who, times = np.unique(own[a:b], return_counts=True)
-            data.append(np.array([b - a, len(who)], np.int64).tobytes() + node[who].tobytes() + size[who].tobytes() + times.astype(np.int32).tobytes() + short[a:b].tobytes() + place[a:b].tobytes())
+            who, begin = np.unique(own[a:b], return_index=True)
+            place[a + begin] |= FIRST_OF_SET
+            data.append(np.array([b - a, len(who)], np.int64).tobytes() + node[who].tobytes() + size[who].tobytes() + short[a:b].tobytes() + place[a:b].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(range(groups), pa.int32()), pa.array(data, pa.binary())], ["g", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +180,13 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     for raw in table["data"]:
         raw = raw.as_py()
         n, k = np.frombuffer(raw, np.int64, 2)
-        node, size, times = np.frombuffer(raw, np.int64, k, 16), np.frombuffer(raw, np.int32, k, 16 + 8 * k), np.frombuffer(raw, np.int32, k, 16 + 12 * k)
-        at = 16 + 16 * k
+        node, size = np.frombuffer(raw, np.int64, k, 16), np.frombuffer(raw, np.int32, k, 16 + 8 * k)
+        at = 16 + 12 * k
         place = np.frombuffer(raw, np.uint16, n, at + 4 * n)
+        own, place = np.cumsum(place >= FIRST_OF_SET) - 1, place % FIRST_OF_SET
         # tokens lie by set within a group, in the order of their places
         parts[0].append(np.frombuffer(raw, np.uint32, n, at).astype(np.uint64) | group)
-        parts[1].append(np.stack([np.repeat(node, times), np.repeat(size.astype(np.int64), times), place.astype(np.int64)]))
+        parts[1].append(np.stack([node[own], size.astype(np.int64)[own], place.astype(np.int64)]))
     token, (node, size, place) = np.concatenate(parts[0]), np.concatenate(parts[1], axis=1)
     by = np.lexsort((mix(token ^ node.astype(np.uint64)), token))
     token, node, size, place = token[by], node[by], size[by], place[by]

@@ -272,26 +272,77 @@ def test_base_counts(spark, small):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(t), t
 
 
+def brute_mcd(x, starts=40, share=robust_outliers.CORE):
+    """Mean and consistent covariance of the least determinant over random starts, by exact concentration steps."""
+    rng, p, best = np.random.default_rng(2), x.shape[1], None
+    regular = lambda c: c + np.eye(p) * (1 / 12 + 1e-6 * np.trace(c))
+    for k in range(starts):
+        m, c = (x.mean(0), np.cov(x.T, bias=True)) if k == 0 or len(x) <= p + 1 else (lambda y: (y.mean(0), np.cov(y.T, bias=True)))(x[rng.choice(len(x), p + 1, replace=False)])
+        for _ in range(15):
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(regular(c)), x - m)
+            y = x[np.argsort(d, kind="stable")[: int(np.ceil(share * len(x)))]]
+            m, c = y.mean(0), np.cov(y.T, bias=True).reshape(p, p)
+        det = np.linalg.slogdet(regular(c))[1]
+        best = (det, m, regular(c)) if best is None or det < best[0] else best
+    return best[1], best[2] * robust_outliers.consistency(share, p), best[0]
+
+
 def test_rules_keep_clean_and_reject_junk(spark):
+    """On labels, and against brute force over each language and source."""
     base = "/root/testdata/sf0.01"
-    out = {r.doc_id: r for r in queries.QUERIES["op7_quality_rules"](spark, base).collect()}
+    out = queries.QUERIES["op7_quality_rules"](spark, base)
+    groups = {r.doc_id: (r.lang, r.source) for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    stats = out.withColumns(robust_outliers.statistics()).orderBy("doc_id").collect()
+    out = {r.doc_id: r for r in stats}
+    good, bad = [], []
     for r in spark.read.parquet(f"{base}/labels.parquet").collect():
         o = out[r.doc_id]
         assert o.base_failed == (o.n_words < 10 or 100 * o.n_repeat_words > 20 * o.n_words)
-        assert o.kept == (r.quality == 1 and not o.base_failed)
+        (good if r.quality == 1 else bad).extend([o.kept] * (not o.base_failed))
+    assert not any(bad) and sum(good) >= 0.98 * len(good)
+    rows = [r for r in stats if not r.base_failed]
+    x = np.array([[r[c] for c in robust_outliers.STATS] for r in rows], float)
+    lang, own = np.array([groups[r.doc_id][0] for r in rows]), np.array(["/".join(groups[r.doc_id]) for r in rows])
+    drawn = lambda mine, n, wide, k: tuple((n * a + k * b) / (n + k) for a, b in zip(mine, wide))
+    m, c, _ = brute_mcd(x)
+    top = drawn((m, c), len(x), (m, np.eye(5) * robust_outliers.WIDE**2), robust_outliers.DRAW_ALL)
+    kept = np.zeros(len(x), bool)
+    cutoff = robust_outliers.chi2_quantile(1 - robust_outliers.LEVEL, 5)
+    for a in set(lang):
+        wide = drawn(brute_mcd(x[lang == a])[:2], (lang == a).sum(), top, robust_outliers.DRAW)
+        for b in set(own[lang == a]):
+            y = x[own == b]
+            m, c = drawn(brute_mcd(y, 10)[:2], len(y), wide, robust_outliers.DRAW)
+            kept[own == b] = np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(c), y - m) <= cutoff
+    assert (kept == np.array([r.kept for r in rows])).mean() >= 0.985
+    # no ball about the middle of all rejects the same
+    far = ((x - np.median(x, 0)) ** 2).sum(1)
+    assert not np.array_equal(far <= np.sort(far)[kept.sum() - 1], kept)
+
+
+def test_concentration_finds_the_least_determinant(spark):
+    rng = np.random.default_rng(9)
+    core = rng.multivariate_normal([0, 0, 0, 0, 0], np.diag([4e4, 1e4, 900, 2e5, 4e4]) + 500, 700)
+    x = np.round(np.concatenate([core, rng.normal(5000, 50, (150, 5))]))
+    rows = [("g", *map(int, y)) for y in x] + [("one", 1, 2, 3, 4, 5)] + [("same", 7, 7, 7, 7, 7)] * 9
+    found = {r.g: r for r in robust_outliers.fit_mcd(spark.createDataFrame(rows, "g string, x0 long, x1 long, x2 long, x3 long, x4 long"), True).collect()}
+    m, c, det = brute_mcd(x)
+    r = found["g"]
+    mine = np.array([[r[f"c{max(i, j)}{min(i, j)}"] for j in range(5)] for i in range(5)])
+    assert r.n == 850 and np.linalg.slogdet(mine / robust_outliers.consistency(0.75, 5))[1] <= det + 0.2
+    assert np.abs(np.array([r[f"m{i}"] for i in range(5)]) - m).max() < 40 and np.abs(np.diag(mine) / np.diag(c) - 1).max() < 0.1
+    assert (found["one"].m4, found["same"].m0) == (5, 7) and found["same"].c00 > 0
 
 
-def test_concentration_finds_the_core(spark):
-    rng = np.random.default_rng(9)
-    core = rng.multivariate_normal([0, 0, 0, 0, 0], np.diag([4e4] * 5) + 2e4, 700)
-    far = rng.normal(5000, 50, (150, 5))
-    rows = [("g", *map(int, x)) for x in np.concatenate([core, far])]
-    m = robust_outliers.fit_mcd(spark.createDataFrame(rows, "g string, x0 long, x1 long, x2 long, x3 long, x4 long"), True).first()
-    assert all(abs(m[f"m{i}"]) < 60 for i in range(5))
+def test_chi_square():
+    for share, p, want in ((0.999, 5, 20.515), (0.75, 5, 6.6257), (0.5, 2, 1.38629), (0.95, 1, 3.8415)):
+        assert abs(robust_outliers.chi2_quantile(share, p) - want) < 1e-3
 
 
 def test_rules_awkward(awkward):
     assert robust_outliers.quality_rules(awkward).count() == awkward.count()
+    junk = robust_outliers.quality_rules(awkward.where("text is null or length(text) < 5"))
+    assert junk.count() == 5 and not junk.where("kept or distance2 is not null").count()
     assert robust_outliers.quality_rules(awkward.limit(0)).count() == 0
 
 

@@ -5,7 +5,8 @@ few times. Each scan cuts every interval that still hides a splitter into equal
 counts, exactly, bytes and rows per step over all partitions; the step in which a target
 falls becomes the next interval. A splitter is settled as soon as a step's edge lies
 within the tolerance, or its step holds a single key. An interval that has shrunk to one
-first key (a large group of copies) goes on over the second key, so no group is too large
+first key (a large group of copies) goes on over the second key, and where a splitter falls among rows equal
+in both, these are written with a number each and the search goes on over the numbers, so no group is too large
 to be cut. Only step counts reach the driver: at most 16 per open
 splitter, or ``PROBES``.
 
@@ -14,13 +15,15 @@ With the splitters known, full rows are exchanged once, to the ranges in which t
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.words import hash_key
-from gridloom.storage import materialize
+from gridloom.storage import discard, materialize
 
 #: Probes of one scan, shared by its open splitters (16 each at least).
 PROBES = 4096
@@ -70,75 +73,100 @@ def _counts(narrow: DataFrame, spans: list[tuple]) -> dict[tuple, list]:
     return {s: sorted(x) for s, x in found.items()}
 
 
-def find_splitters(narrow: DataFrame, targets: list[float], tolerance: float) -> list[tuple[int, int]]:
-    """Least (k1, k2) at or above which rows go to the next range, for each ascending byte target.
+def _settle(narrow: DataFrame, open_: dict[int, _Search], tolerance: float) -> tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int, int]]]:
+    """Splitters by number, and those that fall among rows of one (k1, k2) by more than ``tolerance``: (k1, k2, bytes below them).
 
-    ``narrow`` has long columns k1, k2 (0 <= key < 2**62) and size. Steps are compared by the
-    keys they really hold, so every count used is exact.
+    ``narrow`` has long columns k1, k2 (0 <= key < 2**62) and size. Steps are compared by the keys they really hold, so every
+    count used is exact.
     """
-    lows = narrow.agg(F.min("k1"), F.max("k1")).first()
-    if lows[0] is None:
-        return [(0, 0) for _ in targets]
     done: dict[int, tuple[int, int]] = {}
-    open_: dict[int, _Search] = {i: _Search(t, None, lows[0], lows[1], 0) for i, t in enumerate(targets)}
+    tied: dict[int, tuple[int, int, int]] = {}
     while open_:
         spans = {}
         for i, s in open_.items():
             spans.setdefault((s.first, s.low, s.high), []).append(i)
         counts = _counts(narrow, list(spans))
         for span, members in spans.items():
+            steps = counts[span]
+            upto = list(accumulate(size for _, _, size in steps))
             for i in members:
-                s, below = open_[i], open_[i].below
-                for lo, hi, size in counts[span]:
-                    if below + size >= s.target:
-                        break
-                    below += size
+                s = open_[i]
+                at = min(bisect_left(upto, s.target - s.below), len(steps) - 1)
+                lo, hi, size = steps[at]
+                below = s.below + upto[at] - size
                 near, far = s.target - below, below + size - s.target
-                edge = (lambda k, s=s: (k, 0) if s.first is None else (s.first, k))
+                edge = (lo, 0) if s.first is None else (s.first, lo)
                 over = (hi + 1, 0) if s.first is None else (s.first, hi + 1)
-                if min(near, far) <= tolerance or lo == hi and s.first is not None:
-                    done[i] = edge(lo) if near <= far else over
+                if min(near, far) <= tolerance:
+                    done[i] = edge if near <= far else over
+                elif lo == hi and s.first is not None:
+                    tied[i] = (s.first, lo, below)
                 elif lo == hi:
                     open_[i] = _Search(s.target, lo, 0, (1 << 62) - 1, below)
                 else:
                     open_[i] = _Search(s.target, s.first, lo, hi, below)
-        open_ = {i: s for i, s in open_.items() if i not in done}
-    return [done[i] for i in range(len(targets))]
+        open_ = {i: s for i, s in open_.items() if i not in done and i not in tied}
+    return done, tied
+
+
+def find_splitters(narrow: DataFrame, targets: list[float], tolerance: float) -> tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int, int]]]:
+    """Least (k1, k2) at or above which rows go to the next range, by the number of its ascending byte target; and what ``_settle`` calls tied."""
+    lows = narrow.agg(F.min("k1"), F.max("k1")).first()
+    if lows[0] is None:
+        return {i: (0, 0) for i in range(len(targets))}, {}
+    return _settle(narrow, {i: _Search(t, None, lows[0], lows[1], 0) for i, t in enumerate(targets)}, tolerance)
+
+
+def _split_ties(keyed: DataFrame, tied: dict[int, tuple[int, int, int]], targets: list[float], tolerance: float) -> tuple[DataFrame, dict[int, tuple[int, int, int]]]:
+    """``keyed`` with a number ``_t`` (0 but for rows of the tied keys, which are written with one each), and the splitters (k1, k2, t)."""
+    keys = sorted({t[:2] for t in tied.values()})
+    listed = F.broadcast(keyed.sparkSession.createDataFrame([(*k, n) for n, k in enumerate(keys)], "_k1 long, _k2 long, _key long"))  # one per splitter at most
+    hot = materialize(keyed.join(listed, ["_k1", "_k2"]).withColumn("_t", F.monotonically_increasing_id()), "tied")
+    narrow = hot.select(F.col("_key").alias("k1"), F.col("_t").alias("k2"), F.col("_size").alias("size"))
+    most = narrow.agg(F.max("k2")).first()[0]
+    open_ = {i: _Search(targets[i], keys.index((k1, k2)), 0, most, below) for i, (k1, k2, below) in tied.items()}
+    done, single = _settle(narrow, open_, tolerance)
+    # a row is the least that can be cut: it goes where it lies by its first byte
+    found = {i: (*keys[done[i][0]], done[i][1]) if i in done else (*keys[single[i][0]], single[i][1] + 1) for i in tied}
+    plain = keyed.join(listed.drop("_key"), ["_k1", "_k2"], "left_anti").withColumn("_t", F.lit(0).cast("long"))
+    return plain.unionByName(hot.drop("_key")), found
 
 
 def histogram_sort(df: DataFrame, first: Column, second: Column, size: Column, shards: int, tolerance: float = 0.002) -> DataFrame:
     """``df`` with ``shard`` (0..shards-1) and ``slot`` (gapless from 0 in each shard), bytes near equal.
 
-    ``first`` and ``second`` are non-negative long keys below 2**62; rows are ordered by them,
-    and rows equal in both stay together (they cannot be told apart). ``tolerance`` is the
+    ``first`` and ``second`` are non-negative long keys below 2**62; rows are ordered by them, and rows equal in both
+    by a number, where a shard's end falls among them. ``tolerance`` is the
     allowed error of a splitter as a share of a shard's bytes; it is met wherever single rows
     are no larger. Columns of ``df`` named like the added ones are replaced. Empty input gives
     an empty result. Fewer rows than shards leave shards empty.
     """
-    keyed = df.drop("shard", "slot", "_k1", "_k2", "_size").withColumns({"_k1": first, "_k2": second, "_size": size.cast("long")})
+    keyed = df.drop("shard", "slot", "_k1", "_k2", "_t", "_key", "_size").withColumns({"_k1": first, "_k2": second, "_size": size.cast("long")})
     narrow = materialize(keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_size").alias("size")), "histogram")
     total = narrow.agg(F.sum("size")).first()[0] or 0
     finer = max(1, min(-(-total // (shards * RANGE_BYTES)), MAX_RANGES // shards))
     ranges = shards * finer
-    cuts = find_splitters(narrow, [total * i / ranges for i in range(1, ranges)], tolerance * total / shards)
-    for i in range(1, len(cuts)):
-        cuts[i] = max(cuts[i], cuts[i - 1])
+    targets = [total * i / ranges for i in range(1, ranges)]
+    done, tied = find_splitters(narrow, targets, tolerance * total / shards)
+    bare = narrow.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.lit(0).cast("long").alias("_t"))
+    keyed, tied = _split_ties(keyed, tied, targets, tolerance * total / shards) if tied else (keyed.withColumn("_t", F.lit(0).cast("long")), {})
+    bare = keyed.select("_k1", "_k2", "_t") if tied else bare
+    cuts = sorted([(*k, 0) for k in done.values()] + list(tied.values()))
 
     # the splitters, by the coarse step of the first key in which they lie: 4096 + MAX_RANGES entries at most
     step = 1 << COARSE
-    steps: list[tuple[int, int, list]] = [(b, 0, []) for b in range(1 << 12)]
-    for b in range(1 << 12):
-        inside = [c for c in cuts if b * step <= c[0] < (b + 1) * step]
-        steps[b] = (b, sum(c[0] < b * step for c in cuts), inside)
+    ends = [bisect_left(cuts, (b * step, -1, -1)) for b in range((1 << 12) + 1)]
+    steps = [(b, ends[b], cuts[ends[b] : ends[b + 1]]) for b in range(1 << 12)]
     spark = df.sparkSession
-    coarse = F.broadcast(spark.createDataFrame(steps, "_step long, _before int, _cuts array<struct<k1:long,k2:long>>"))
+    coarse = F.broadcast(spark.createDataFrame(steps, "_step long, _before int, _cuts array<struct<k1:long,k2:long,t:long>>"))
 
-    def placed(x: DataFrame, k1: str, k2: str) -> DataFrame:
-        key = F.struct(F.col(k1).alias("k1"), F.col(k2).alias("k2"))
-        at = x.join(coarse, F.shiftright(F.col(k1), COARSE) == F.col("_step"), "left")
+    def placed(x: DataFrame) -> DataFrame:
+        key = F.struct(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.col("_t").alias("t"))
+        at = x.join(coarse, F.shiftright(F.col("_k1"), COARSE) == F.col("_step"), "left")
         return at.withColumn("_range", F.col("_before") + F.size(F.filter("_cuts", lambda c: c <= key))).drop("_step", "_before", "_cuts")
 
-    rows = {r["_range"]: r["n"] for r in placed(narrow, "k1", "k2").groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = {r["_range"]: r["n"] for r in placed(bare).groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    discard(narrow)
     starts = []
     for s in range(shards):
         at = 0
@@ -146,9 +174,9 @@ def histogram_sort(df: DataFrame, first: Column, second: Column, size: Column, s
             starts.append((s * finer + f, s, at))
             at += rows.get(s * finer + f, 0)
     start = F.broadcast(spark.createDataFrame(starts, "_range int, shard int, _start long"))
-    ordered = Window.partitionBy("_range").orderBy("_k1", "_k2")
-    out = placed(keyed, "_k1", "_k2").withColumn("_at", F.row_number().over(ordered)).join(start, "_range")
-    return out.withColumn("slot", F.col("_start") + F.col("_at") - 1).drop("_range", "_start", "_at", "_k1", "_k2", "_size")
+    ordered = Window.partitionBy("_range").orderBy("_k1", "_k2", "_t")
+    out = placed(keyed).withColumn("_at", F.row_number().over(ordered)).join(start, "_range")
+    return out.withColumn("slot", F.col("_start") + F.col("_at") - 1).drop("_range", "_start", "_at", "_k1", "_k2", "_t", "_size")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002) -> DataFrame:
@@ -162,6 +190,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.002)
 
 
 def op4_histogram_sort(spark, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes (law ``bytes``); null text counts as empty."""
     out = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select(

@@ -500,6 +500,41 @@ def test_packing(spark, small):
     assert check_packing(harmonic_pack.pack(odd, harmonic_pack.default_tokenizer(), 64).collect(), dict(enumerate(AWKWARD)), 64) < 0.2
 
 
+def test_packing_keeps_documents_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = harmonic_pack.pack(docs.coalesce(1), harmonic_pack.default_tokenizer()).collect()
+    pieces = collections.Counter(r.doc_id for r in out)
+    fit = {r.doc_id for r in out if r.doc_tokens <= 4096}
+    assert sum(pieces[d] == 1 for d in fit) >= 0.9 * len(fit)
+    # bins of whole documents hold as many as their class says
+    held = collections.defaultdict(list)
+    for r in out:
+        held[r.sequence_id].append(r)
+    full = [rows for rows in held.values() if sum(r.length for r in rows) == 4096]
+    assert sum(sum(r.length for r in rows) for rows in full) >= 0.95 * sum(r.length for r in out)
+
+
+@pytest.mark.parametrize("capacity", [1, 8, 64])
+def test_packer_on_random_sizes(capacity):
+    rng = np.random.default_rng(capacity)
+    packer, out, n = harmonic_pack._Packer(3, capacity), [], 0
+    sizes = [rng.integers(1, hi, int(k)) for hi, k in ((2, 30), (200, 50), (capacity + 1, 400), (9, 0), (capacity + 1, 1))]
+    for s in sizes:
+        ids = rng.integers(0, 9, int(s.sum())).astype(np.uint32)
+        out.append(packer.add(np.arange(n, n + len(s)), s, ids))
+        n += len(s)
+    out = harmonic_pack._joined([*out, packer.finish()])
+    flat, seen, used = np.concatenate(sizes), collections.defaultdict(list), collections.defaultdict(list)
+    for row, start, length, seq, off in zip(*(out[k].tolist() for k in ("row", "start", "length", "sequence", "offset"))):
+        seen[row].append((start, length))
+        used[seq].append((off, length))
+    for d, parts in seen.items():
+        assert [a for a, _ in sorted(parts)] == [0, *itertools.accumulate(x for _, x in sorted(parts))][:-1] and sum(x for _, x in parts) == flat[d]
+    assert len(seen) == n
+    for parts in used.values():
+        assert [a for a, _ in sorted(parts)] == [0, *itertools.accumulate(x for _, x in sorted(parts))][:-1] and sum(x for _, x in parts) <= capacity
+
+
 def test_packing_awkward(awkward):
     path = harmonic_pack.default_tokenizer()
     out = harmonic_pack.pack(awkward, path).collect()

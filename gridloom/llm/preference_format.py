@@ -4,13 +4,13 @@ Of each pair the longest common prefix of turns (equal role and text) becomes th
 follows in either conversation is its completion, in segments with a mask: 1 for what an assistant says and the end
 sign after it, which a loss would count, 0 for headers and all other roles.
 
-Turns stay rows until the last step: the first position at which a pair differs is a minimum, taken by
-partial aggregates. Only the text of one conversation meets in one row. Built-in functions only.
+Each side is exchanged once, by pair, and its turns stand in one sorted array, as they do in the result; both sides are
+joined where they lie. Built-in functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: the template around each turn
@@ -18,56 +18,52 @@ HEAD, MIDDLE, TAIL = "<|start|>", "\n", "<|end|>\n"
 
 
 def _turns(side: DataFrame, name: str) -> DataFrame:
-    """One row per pair and turn; of rows that share both the least (role, text) counts."""
-    one = side.where("pair_id is not null and turn is not null").groupBy("pair_id", "turn").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias(name))
-    return one
+    """Per pair its turns (turn, role, text) in order; of rows that share pair and turn the least (role, text) counts."""
+    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = side.where("pair_id is not null and turn is not null").select("pair_id", one.alias("t"))
+    listed = rows.groupBy("pair_id").agg(F.sort_array(F.collect_list("t")).alias("_all"))
+    first = F.filter("_all", lambda x, i: (i == 0) | (F.get("_all", i - 1)["turn"] != x["turn"]))
+    return listed.select("pair_id", first.alias(name))
 
 
-def _header() -> Column:
-    return F.concat(F.lit(HEAD), F.col("t.role"), F.lit(MIDDLE))
+def _header(turn: Column) -> Column:
+    return F.concat(F.lit(HEAD), turn["role"], F.lit(MIDDLE))
 
 
-def _joined(rows: DataFrame, name: str) -> DataFrame:
-    """Per pair the rendered text of ``rows`` (pair_id, turn, t) and its segments (length, mask), turns in order."""
-    said = F.col("t.role") == "assistant"
-    body = F.concat(F.col("t.text"), F.lit(TAIL))
-    spans = F.array(F.struct(F.length(_header()).alias("length"), F.lit(0).alias("mask")), F.struct(F.length(body).alias("length"), said.cast("int").alias("mask")))
-    listed = rows.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat(_header(), body).alias("text"), spans.alias("spans")))).alias("turns"))
-    return listed.select("pair_id", F.array_join(F.transform("turns", lambda x: x["text"]), "").alias(name), F.flatten(F.transform("turns", lambda x: x["spans"])).alias(f"{name}_spans"))
+def _rendered(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, lambda x: F.concat(_header(x), x["text"], F.lit(TAIL))), "")
+
+
+def _spans(turns: Column) -> Column:
+    counted = lambda x: F.struct((F.length(x["text"]) + len(TAIL)).alias("length"), (x["role"] == "assistant").cast("int").alias("mask"))
+    return F.flatten(F.transform(turns, lambda x: F.array(F.struct(F.length(_header(x)).alias("length"), F.lit(0).alias("mask")), counted(x))))
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """pair_id, n_prompt_turns, prompt, chosen, chosen_spans, rejected, rejected_spans.
 
-    Both inputs have pair_id, turn, role, text. Turns are compared by rank of ``turn`` within the conversation's own
-    numbering, so a number missing on one side ends the prefix. Spans are runs of (length in characters, mask) that cover
+    Both inputs have pair_id, turn, role, text; other columns are not looked at. Turns are compared by their numbers, so a
+    number missing on one side ends the prefix. Spans are runs of (length in characters, mask) that cover
     the completion. Pairs with turns on one side only are left out; pairs of equal conversations have
-    empty completions. Null roles and texts count as empty, null ids and turns are left out.
+    empty completions. Null roles and texts count as empty, null ids and turns are left out. Of rows that repeat
+    a pair and turn the least (role, text) counts.
     """
-    a, b = _turns(chosen, "c"), _turns(rejected, "r")
-    both = a.select("pair_id").distinct().join(b.select("pair_id").distinct(), "pair_id")
-    met = a.join(b, ["pair_id", "turn"], "full").join(both, "pair_id", "left_semi")
-    met = met.withColumn("same", F.coalesce(F.col("c") == F.col("r"), F.lit(False)))
-    split = met.groupBy("pair_id").agg(F.min(F.when(~F.col("same"), F.col("turn"))).alias("from"))
-    dated = met.join(split, "pair_id")
-    before = F.col("from").isNull() | (F.col("turn") < F.col("from"))
-    prompt = _joined(dated.where(before).select("pair_id", "turn", F.col("c").alias("t")), "prompt")
-    turns = dated.where(before).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_prompt_turns"))
-    sides = [_joined(dated.where(~before & F.col(x).isNotNull()).select("pair_id", "turn", F.col(x).alias("t")), name) for x, name in (("c", "chosen"), ("r", "rejected"))]
-    out = split.select("pair_id").join(turns, "pair_id", "left").join(prompt.drop("prompt_spans"), "pair_id", "left")
-    for side in sides:
-        out = out.join(side, "pair_id", "left")
-    empty = F.array().cast("array<struct<length:int,mask:int>>")
-    return out.select("pair_id", F.coalesce("n_prompt_turns", F.lit(0)).cast("long").alias("n_prompt_turns"), F.coalesce("prompt", F.lit("")).alias("prompt"), *[
-        c for n in ("chosen", "rejected") for c in (F.coalesce(n, F.lit("")).alias(n), F.coalesce(f"{n}_spans", empty).alias(f"{n}_spans"))
-    ])
+    both = _turns(chosen, "c").join(_turns(rejected, "r"), "pair_id")
+    differs = F.array_position(F.zip_with("c", "r", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    both = both.withColumn("n", F.when(differs == 0, F.size("c")).otherwise(differs - 1).cast("int"))
+    rest = lambda c: F.slice(c, F.col("n") + 1, F.size(c))
+    cut = both.select("pair_id", "n", F.slice("c", F.lit(1), F.col("n")).alias("p"), rest("c").alias("c"), rest("r").alias("r"))
+    return cut.select(
+        "pair_id", F.col("n").cast("long").alias("n_prompt_turns"), _rendered(F.col("p")).alias("prompt"),
+        _rendered(F.col("c")).alias("chosen"), _spans(F.col("c")).alias("chosen_spans"), _rendered(F.col("r")).alias("rejected"), _spans(F.col("r")).alias("rejected_spans"),
+    )
 
 
 def as_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The conversations as pairs: each, whole, is chosen; rejected is the same with its last assistant turn's words in reverse order."""
     rows = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = rows.where("role = 'assistant'").groupBy("pair_id").agg(F.max("turn").alias("last"))
-    worse = rows.join(last, "pair_id", "left").withColumn("text", F.when(F.col("turn") == F.col("last"), F.array_join(F.reverse(F.split("text", " ")), " ")).otherwise(F.col("text")))
+    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("pair_id"))
+    worse = rows.withColumn("last", last).withColumn("text", F.when(F.col("turn") == F.col("last"), F.array_join(F.reverse(F.split("text", " ")), " ")).otherwise(F.col("text")))
     return rows, worse.drop("last")
 
 

@@ -103,6 +103,11 @@ def test_preferences(spark):
     assert marked(r.chosen, r.chosen_spans) == "yes<|end|>\n" and marked(r.rejected, r.rejected_spans) == "no<|end|>\n"
     assert got[2].chosen == got[2].rejected == "" and got[2].n_prompt_turns == 1 and got[3].n_prompt_turns == 1
     assert preference_format.format_preferences(a.limit(0), b).count() == 0
+    odd = a.unionByName(spark.createDataFrame([(8, 0, "user", "x" * 200_000), (8, 0, "user", "w")], fields)).withColumns({c: F.lit("clash") for c in ("c", "r", "n", "t", "_all", "prompt")})
+    clash = {r.pair_id: r for r in preference_format.format_preferences(odd, odd).collect()}
+    assert clash[8].prompt == "<|start|>user\nw<|end|>\n" and clash[1].n_prompt_turns == 2 and clash[1].chosen == ""
+    long = {r.pair_id: r for r in preference_format.format_preferences(odd.where("length(text) > 1000"), b.withColumn("pair_id", F.lit(8).cast("long")).limit(1)).collect()}
+    assert long[8].chosen_spans[1].length == 200_000 + 8 and long[8].n_prompt_turns == 0
 
 
 # 3

@@ -1,10 +1,10 @@
 """ZIP packages of web archives: written once, then read by ranges without extraction.
 
-A package is a ZIP file with two stored members: ``archive/data.warc.gz``, records each in a gzip member of
-its own, and ``indexes/index.cdx``, one JSON line per record with its offset and length. The
-reader finds the central directory from the end of the file, through the ZIP64 records where there
+A package is a ZIP file with stored members: below ``archive/`` web archives, records each in a gzip member of
+their own, and below ``indexes/`` lines of key, time and JSON that name a record's archive, offset and length (plain or in
+gzip). The reader finds the central directory from the end of the file, through the ZIP64 records where there
 are any, and the members' bytes from their local headers. As members are stored, a record
-lies at a known range of the package, and one range read fetches it.
+lies at a known range of the package, and one range read fetches it. The writer makes one archive and one index a package.
 
 Files are reached through pyarrow's file systems, by URI, in the folder that all executors share.
 """
@@ -25,14 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.storage import materialize, scratch, ship
+from gridloom.storage import discard, materialize, scratch, ship
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed when its data reaches this; a task writes as many as it needs.
 PACKAGE_BYTES = 64 << 20
 #: Records are grouped for range reads by position; a gap below this is read through.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: Bytes of records that one task reads, about.
+TASK_BYTES = 16 << 20
+#: Payload digests that repeat, sent to every task at most; more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
+#: Rows equal in id, url and payload that one row stands for until they are dealt out.
+PIECE_ROWS = 1024
 
 # fixed values: signatures and sizes of the ZIP format
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -121,7 +127,7 @@ def _writer(folder: str, package_bytes: int, zip64: bool):
             nonlocal out
             data.close()
             listing = _Stored(out, INDEX)
-            listing.write(b"".join(index))
+            listing.write(b"".join(sorted(index)))
             listing.close()
             _close_zip(out, [data, listing], zip64)
             out.close()
@@ -140,7 +146,8 @@ def _writer(folder: str, package_bytes: int, zip64: bool):
                 digest = digest32(payload)
                 at = data.size
                 data.write(_record(page, url, payload, digest, len(payload), first, revisit))
-                index.append(json.dumps({"id": page, "offset": at, "length": data.size - at}).encode() + b"\n")
+                entry = {"digest": f"sha1:{digest}", "filename": DATA.partition("/")[2], "offset": str(at), "length": str(data.size - at)}
+                index.append(f"{_header(url or 'urn:none')} 20200101000000 {json.dumps(entry)}\n".encode())
                 if data.size >= package_bytes:
                     yield close()
         if out is not None:
@@ -152,21 +159,33 @@ def _writer(folder: str, package_bytes: int, zip64: bool):
 def write_packages(pages: DataFrame, folder: str, least_revisit: int = 0, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
     """Writes ``pages`` (page_id, url, html string or binary) to packages in ``folder``; returns (package, records).
 
-    Of pages with equal payloads of at least ``least_revisit`` bytes, those with the smallest page_id are
-    response records and the others revisits of it, without payload. Null html is the empty payload. Rows
-    that share the smallest id, repeated ones too, are all responses; null ids come after all others.
+    Of pages with equal payloads of at least ``least_revisit`` bytes, that with the smallest page_id is a
+    response record and the others are revisits of it, without payload; smaller ones are all responses. Null html is the
+    empty payload; null ids come after all others. Of pages that share the smallest id one is the response, that of the
+    least url; of rows equal in all three, any. Only digests are exchanged, and whole pages beyond BROADCAST_DIGESTS digests that
+    repeat.
     """
     spark = ship(pages.sparkSession)
-    payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
-    small = pages.select("page_id", F.sha1(payload).alias("_sha1"), F.octet_length(payload).alias("_bytes"))
-    first = small.where(F.col("_bytes") >= least_revisit).groupBy("_sha1").agg(F.min("page_id").alias("_first"))
-    keyed = pages.select("page_id", "url", F.col("html").cast("binary").alias("html"), F.sha1(payload).alias("_sha1"))
-    joined = keyed.join(first, "_sha1", "left")
-    revisit = F.coalesce(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.lit(False))
+    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("html"))
+    key = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"))
+    keyed = pages.withColumns({"_sha1": F.sha1("html"), "_key": key})
+    found = keyed.where(F.octet_length("html") >= least_revisit).groupBy("_sha1", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    found = found.groupBy("_sha1").agg(F.sum("_n").alias("_all"), F.min(F.struct("_key", "_n")).alias("_f")).where("_all > 1")
+    again = materialize(found.select("_sha1", F.col("_f._key").alias("_first"), F.col("_f._n").alias("_ties")), "digests")
+    again_ = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
+    joined = keyed.join(again_, "_sha1", "left")
+    rows = joined.withColumn("revisit", F.coalesce(F.col("_key") != F.col("_first"), F.lit(False)))
+    if not again.where("_ties > 1").isEmpty():
+        # equal rows: one of them stands for all, in pieces that are dealt out
+        tied = rows.where("_ties > 1 and not revisit").dropDuplicates(["_sha1"])
+        tied = tied.withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ties") - 1, F.lit(PIECE_ROWS).cast("long")))).repartition("_sha1", "_lo")
+        tied = tied.withColumn("_i", F.explode(F.sequence("_lo", F.least(F.col("_lo") + PIECE_ROWS, F.col("_ties")) - 1)))
+        rows = rows.where("_ties is null or _ties = 1 or revisit").unionByName(tied.withColumn("revisit", F.col("_i") > 0).drop("_lo", "_i"))
     # a revisit keeps size and digest; its payload is needed for the digest alone
-    rows = joined.select("page_id", F.col("url").cast("string").alias("url"), "html", F.col("_first").cast("long").alias("_first"), revisit.alias("revisit"))
-    done = rows.mapInArrow(_writer(folder, package_bytes, zip64), "package string, records long")
-    return materialize(done, "packages")
+    rows = rows.select("page_id", "url", "html", F.col("_first.id").cast("long").alias("_first"), "revisit")
+    done = materialize(rows.mapInArrow(_writer(folder, package_bytes, zip64), "package string, records long"), "packages")
+    discard(again)
+    return done
 
 
 # --- reading ---------------------------------------------------------------------------------
@@ -176,6 +195,9 @@ def read_directory(read, size: int) -> dict[str, tuple[int, int, int]]:
     """name -> (compression method, first byte of the data, bytes) of each member; read(at, n) -> bytes."""
     tail = read(max(0, size - 22 - _MAX16 - 20), min(size, 22 + _MAX16 + 20))
     at = tail.rfind(_END)
+    # the signature may stand in a comment: that of the record is followed by a comment that ends the file
+    while at >= 0 and (len(tail) < at + 22 or at + 22 + struct.unpack("<H", tail[at + 20 : at + 22])[0] != len(tail)):
+        at = tail.rfind(_END, 0, at + 3)
     if at < 0:
         raise ValueError("no ZIP end record")
     count, length, start = struct.unpack("<HII", tail[at + 10 : at + 20])
@@ -213,26 +235,44 @@ def read_directory(read, size: int) -> dict[str, tuple[int, int, int]]:
     return found
 
 
+def _lines(f, at: int, left: int, packed: bool) -> Iterator[list[bytes]]:
+    """Lines of a stored member, in parts; ``packed``: of gzip members."""
+    rest, gz = b"", zlib.decompressobj(31)
+    while left or rest:
+        part = f.read_at(min(left, READ_BYTES), at) if left else b""
+        at, left = at + len(part), left - len(part)
+        if packed:
+            plain = []
+            while part:
+                plain.append(gz.decompress(part))
+                part = gz.unused_data
+                if gz.eof:
+                    gz = zlib.decompressobj(31)
+            part = b"".join(plain)
+        lines, _, rest = (rest + part).rpartition(b"\n")
+        if not left:
+            lines, rest = lines + b"\n" + rest, b""
+        yield lines.split(b"\n")
+
+
 def _list_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri in batch.column(0).to_pylist():
             fs, path = file_system(uri)
             with fs.open_input_file(path) as f:
                 members = read_directory(lambda at, n, f=f: f.read_at(n, at), f.size())
-                for name in (DATA, INDEX):
-                    if members[name][0] != 0:
+                used = {n: m for n, m in members.items() if n.startswith(("archive/", "indexes/")) and not n.endswith("/")}
+                for name, (method, _, _) in used.items():
+                    if method != 0:
                         raise ValueError(f"{name} in {uri} is not stored")
-                _, base, _ = members[DATA]
-                _, at, left = members[INDEX]
-                rest = b""
-                while left or rest:
-                    part = f.read_at(min(left, READ_BYTES), at) if left else b""
-                    at, left = at + len(part), left - len(part)
-                    lines, _, rest = (rest + part).rpartition(b"\n")
-                    if not left:
-                        lines, rest = lines + b"\n" + rest, b""
-                    entries = [json.loads(x) for x in lines.split(b"\n") if x]
-                    yield pa.RecordBatch.from_pydict({"package": [uri] * len(entries), "at": pa.array([base + e["offset"] for e in entries], pa.int64()), "length": pa.array([e["length"] for e in entries], pa.int64())})
+                for name, (_, at, left) in sorted(used.items()):
+                    # fixed values: endings of plain and packed record indexes
+                    if not name.startswith("indexes/") or not name.endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+                        continue
+                    for lines in _lines(f, at, left, name.endswith(".gz")):
+                        entries = [json.loads(x[x.index(b"{") :]) for x in lines if b"{" in x and not x.startswith(b"!")]
+                        begin = [used["archive/" + e["filename"]][1] + int(e["offset"]) for e in entries]
+                        yield pa.RecordBatch.from_pydict({"package": [uri] * len(entries), "at": pa.array(begin, pa.int64()), "length": pa.array([int(e["length"]) for e in entries], pa.int64())})
 
 
 def list_records(packages: DataFrame) -> DataFrame:
@@ -295,11 +335,15 @@ def read_records(packages: DataFrame, payload: bool = True) -> DataFrame:
     Size and digest are those of the full payload; a response's are checked against its bytes.
     """
     schema = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long" + (", payload binary" if payload else "")
-    spread = list_records(packages).repartitionByRange("package", "at")
+    listed = materialize(list_records(packages), "records")
+    tasks = max(1, -(-(listed.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    # a number of its own, as the few bytes of the ranges say nothing of the records' sizes
+    spread = listed.repartitionByRange(tasks, "package", "at")
     return spread.mapInArrow(_read_ranges(payload), schema)
 
 
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What packages of all pages, written with ZIP64 fields, say of each page when read back by ranges."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     packages = write_packages(pages, scratch(spark, "warc"), zip64=True)
     return read_records(packages, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

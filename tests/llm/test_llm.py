@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import re
@@ -143,6 +144,31 @@ def test_least_revisit(spark, tmp_path):
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
+def test_one_response_of_repeated_ids(spark, tmp_path):
+    rows = [(3, "u", "x")] * 3000 + [(3, "v", "x"), (3, "v", "y"), (3, "w", "y"), (5, "u", "x"), (None, "u", "y"), (4, None, "z"), (4, None, "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc_zip.read_records(warc_zip.write_packages(pages, f"file://{tmp_path}/w"), False).collect())
+    x, y, z = (base64.b32encode(hashlib.sha1(c).digest()).decode() for c in (b"x", b"y", b"z"))
+    assert got == {(3, x, "response", None): 1, (3, x, "revisit", 3): 3000, (3, y, "response", None): 1, (3, y, "revisit", 3): 1, (5, x, "revisit", 3): 1, (None, y, "revisit", 3): 1, (4, z, "response", None): 1, (4, z, "revisit", 4): 1}
+
+
+def test_package_of_another_writer(spark, tmp_path):
+    """Several archives, a plain and a packed index, other members, and a signature in the comment."""
+    record = lambda i: warc_zip._record(i, f"http://h/{i}", b"body %d" % i, warc_zip.digest32(b"body %d" % i), len(b"body %d" % i), None, False)
+    line = lambda name, at, n: f'org,h)/ 20200101 {{"url": "u", "filename": "{name}", "offset": "{at}", "length": {n}}}\n'.encode()
+    one, two, three = record(1), record(2), record(3)
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w", zipfile.ZIP_STORED) as out:
+        out.writestr("datapackage.json", b"{}", zipfile.ZIP_DEFLATED)
+        out.writestr("archive/a.warc.gz", one + two)
+        out.writestr("archive/b.warc.gz", three)
+        out.writestr("indexes/index.cdx.gz", gzip.compress(b"!meta {}\n" + line("a.warc.gz", 0, len(one))) + gzip.compress(line("a.warc.gz", len(one), len(two))))
+        out.writestr("indexes/more.cdxj", line("b.warc.gz", 0, len(three)).rstrip())
+        out.writestr("indexes/index.idx", b"org,h)/ 0 {}")
+        out.comment = b"x PK\x05\x06 and more of a comment than an end record has"
+    packages = spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "package string")
+    assert sorted((r.page_id, r.payload) for r in warc_zip.read_records(packages).collect()) == [(i, b"body %d" % i) for i in (1, 2, 3)]
+
+
 def test_directory_read_by_another_zip_writer(tmp_path):
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("a/b.txt", b"hello")

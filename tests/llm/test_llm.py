@@ -83,9 +83,31 @@ def test_rollup_signs_replays_and_compaction(spark, tmp_path):
     assert r.commit("4", spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long"))
     got = {(x.source, x.tokenizer): (x.docs, x.tokens) for x in r.totals().collect()}
     assert got == {("a", "v2"): (1, 6), (None, "v1"): (1, 0)}
-    # a batch whose writer was lost has no marker and is written anew
-    (tmp_path / "r" / "batch=5").mkdir()
-    assert r.commit("5", batch(ins(1, "z"))) and r.totals().where("source = 'z'").first().tokens == 1
+    # a writer that was lost leaves an attempt, which counts for nothing
+    (tmp_path / "r" / "attempt=x").mkdir()
+    assert r.commit("5/ é=%", batch(ins(1, "z"))) and not r.commit("5/ é=%", batch(ins(1, "z"))) and r.totals().where("source = 'z'").first().tokens == 1
+    assert r.live() == ["3", "4", "5/ é=%"]
+    before = sorted(map(tuple, r.totals().collect()), key=repr)
+    # a batch that is committed between a compaction's listing and its end is in none of its parts
+    listing = r._listing()
+    assert r.commit("6", batch(ins(9, "y")))
+    assert r._fold(*listing) and not r._fold(*listing)
+    assert r.live() == ["6"] and r.totals().where("source = 'y'").first().tokens == 9
+    r.purge()
+    assert sorted(map(tuple, r.totals().where("source <> 'y' or source is null").collect()), key=repr) == before
+    assert not r.commit("2", batch(ins(100))) and not r.commit("6", batch(ins(100))) and sorted(n for n in r._names() if n[0] == "b") == ["base=00000002", "batch=6"]
+
+
+def test_counts_of_a_tokenizer(spark, awkward, tmp_path):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path := harmonic_pack.default_tokenizer())
+    rows = token_rollup.token_counts(awkward, path, ["doc_id", "source", "lang", "text", "tokens"] if "tokens" in awkward.columns else ["doc_id", "source", "lang", "text"]).collect()
+    assert len(rows) == awkward.count() and all(r.tokens == len(whole.encode(r.text or "", add_special_tokens=False).ids) for r in rows)
+    counted = token_rollup.token_counts(awkward, path, ["source", "lang"]).withColumns({"op": F.lit("insert"), "tokenizer": F.lit("bpe")} | {f"old_{k}": F.lit(None).cast("string") for k in token_rollup.KEYS} | {"old_tokens": F.lit(None).cast("long")})
+    rollup = token_rollup.Rollup(spark, f"file://{tmp_path}/r")
+    rollup.commit("1", token_rollup.changes(counted))
+    assert rollup.totals().agg(F.sum("tokens")).first()[0] == sum(r.tokens for r in rows)
 
 
 # 2

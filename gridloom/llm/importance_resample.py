@@ -38,6 +38,8 @@ MISS = 0.01
 #: Values that one selection step may bring to the driver.
 FEW = 10_000
 SEED = 11
+#: Bytes of text that a worker takes apart at once, about.
+BLOCK_BYTES = 2 << 20
 _CHUNKS = 16
 
 
@@ -58,7 +60,7 @@ def _are(ids: pa.Array, among: np.ndarray) -> np.ndarray:
 def _count(target):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in (b.slice(i, n) for b in batches for i, n in blocks(b.column(1))):
+        for b in (b.slice(i, n) for b in batches for i, n in blocks(b.column(1), BLOCK_BYTES)):
             bucket, text = _grams(b.column(1))
             raw += np.bincount(bucket, minlength=BUCKETS)
             good += np.bincount(bucket[_are(b.column(0), target.value)[text]], minlength=BUCKETS)
@@ -107,7 +109,7 @@ def log_weights(bucket: np.ndarray, text: np.ndarray, mine: np.ndarray, raw: np.
 def _weigh(model, where: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (raw, good), target = model.value
-        for b in (b.slice(i, n) for b in batches for i, n in blocks(b.column(where))):
+        for b in (b.slice(i, n) for b in batches for i, n in blocks(b.column(where), BLOCK_BYTES)):
             bucket, text = _grams(b.column(where))
             grams, weight = log_weights(bucket, text, _are(b.column(where + 1), target), raw, good)
             keep = range(where)

@@ -35,6 +35,8 @@ DRAW, DRAW_ALL, WIDE = 50.0, 5.0, 500.0
 #: Share of the documents an estimate rests on.
 CORE = 0.75
 STEPS = 4
+#: Step of the percentiles that the search starts from (thousandths).
+START_STEP = 20.0
 #: Variance of rounding to whole numbers, and a share of the trace; they keep covariances regular.
 ROUNDING, RIDGE = 1.0 / 12.0, 1e-6
 #: Share of normal documents that the cutoff rejects.
@@ -184,7 +186,10 @@ def _distance(df: DataFrame) -> DataFrame:
 def fit_mcd(points: DataFrame, broadcast: bool) -> DataFrame:
     """(g, n, m*, c**) per ``g`` of ``points`` (g, x0..x4): documents, mean and consistent covariance of the core."""
     small = F.broadcast if broadcast else (lambda x: x)
-    quarts = points.groupBy("g").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(STATS)])
+    # a start may be coarse; few distinct values keep the exact percentiles small
+    coarse = lambda c: F.round(F.col(c) / START_STEP).cast("long")
+    quarts = points.groupBy("g").agg(*[F.percentile(coarse(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(STATS)])
+    quarts = quarts.select("g", *[F.transform(f"q{i}", lambda x: x * START_STEP).alias(f"q{i}") for i in range(len(STATS))])
     robust = quarts.select("g", F.lit(0).alias("start"), *[F.get(f"q{i}", F.lit(1)).alias(f"m{i}") for i in range(len(STATS))], *[
         ((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) ** 2 / 1.82 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS
     ])

@@ -40,7 +40,7 @@ START_STEP = 20.0
 #: Variance of rounding to whole numbers, and a share of the trace; they keep covariances regular.
 ROUNDING, RIDGE = 1.0 / 12.0, 1e-6
 #: Share of normal documents that the cutoff rejects.
-LEVEL = 1e-5
+LEVEL = 1e-6
 #: Models are sent to every task up to so many groups; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 10_000
 STATS = ("x0", "x1", "x2", "x3", "x4")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from gridloom.llm.hashed import compact
 
 #: Words that one worker remembers; when full, it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Letters whose lower case and normal form do not hang on their neighbours, then ASCII signs but the apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-į]+)([!-&(-/:-@\[-`{-~]*)")
 #: Settings under which a plain word's ids are those of its letters, then those of its signs (fixed values).

@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.fast_tokens import word_tokens
-from gridloom.llm.hashed import blocks
+from gridloom.llm.hashed import blocks, trimmed
 from gridloom.storage import ship
 
 CAPACITY = 4096
 END_ID = 2
+#: Bytes of text that a worker takes apart at once, about.
+BLOCK_BYTES = 2 << 20
 #: Of a piece: its row, ids before it in the document, its length, the document's ids, and where its own lie.
 _FIELDS = ("row", "start", "length", "total", "at")
 
@@ -147,7 +149,7 @@ def _pack(path: str, capacity: int, end_id: int, id_column: str):
             values = [pa.array(rows[k].astype(np.int64)) for k in ("start", "length", "crc", "total", "sequence", "offset")]
             return pa.RecordBatch.from_arrays([names, *values], [id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for part in (b.slice(i, n) for b in batches for i, n in blocks(b.column(1))):
+        for part in (b.slice(i, n) for b in batches for i, n in blocks(b.column(1), BLOCK_BYTES)):
             type_ = part.column(0).type
             flat, bounds = tokens.encode(part.column(1))
             # the end id follows each document
@@ -180,7 +182,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     id_type = dict(docs.dtypes)[id_column]
     narrow = docs.select(id_column, F.col("text").cast("string").alias("text"))
     fields = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return narrow.mapInArrow(_pack(tokenizer, capacity, end_id, id_column), f"{id_column} {id_type}, {fields}")
+    return narrow.mapInArrow(trimmed(_pack(tokenizer, capacity, end_id, id_column)), f"{id_column} {id_type}, {fields}")
 
 
 def default_tokenizer() -> str:

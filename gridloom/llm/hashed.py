@@ -6,6 +6,8 @@ hash is the sum of its bytes times fixed random multipliers, mixed. The same eve
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -80,3 +82,22 @@ def blocks(column: pa.Array, most: int = 8 << 20):
         upto = max(at + 1, min(upto, len(column)))
         yield at, upto - at
         at = upto
+
+
+def trim() -> None:
+    """Give what this worker has freed back to the system: workers are kept for later tasks, whose memory it would add to."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def trimmed(run):
+    """``run``, over batches in a worker, followed by :func:`trim`."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.hashed import blocks, window_hashes, word_hashes
+from gridloom.llm.hashed import blocks, trimmed, window_hashes, word_hashes
 from gridloom.llm.words import hash_key
 from gridloom.storage import materialize, ship
 
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, target: np.ndarray) -> np.ndarray:
     """Counts of raw and target n-grams (2, BUCKETS); ``target`` are ids of ``docs``."""
     spark = ship(docs.sparkSession)
     sent = spark.sparkContext.broadcast(target)
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_count(sent), "chunk int, counts binary")
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_count(sent)), "chunk int, counts binary")
     rows = parts.groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect()
     return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(2, -1) for r in sorted(rows, key=lambda r: r["chunk"])], axis=1) if rows else np.zeros((2, BUCKETS), np.int64)
 
@@ -101,7 +101,7 @@ def log_weights(bucket: np.ndarray, text: np.ndarray, mine: np.ndarray, raw: np.
     key, c = np.unique(text * np.int64(BUCKETS) + bucket, return_counts=True)
     t, b = key // BUCKETS, key % BUCKETS
     # target n-grams expected in a bucket of so many raw ones
-    scale = (good.sum() - n * mine) / np.maximum(1, raw.sum() - n)
+    scale = np.maximum(0, good.sum() - n * mine) / np.maximum(1, raw.sum() - n)
     ratio = np.log((good[b] - c * mine[t] + PRIOR) / (scale[t] * (raw[b] - c) + PRIOR))
     return n, np.bincount(t, c * ratio, len(mine))
 
@@ -131,7 +131,7 @@ def weigh(docs: DataFrame, counts: np.ndarray, target: np.ndarray, carry: list[s
     rows = docs.select(*carry, gumbel(SEED, F.col("doc_id"), F.col("text")).alias("_noise"), F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_id"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]) + ", n_grams long, log_weight double"
     # log-weights are sums of doubles in a fixed order, so they agree between runs
-    return rows.mapInArrow(_weigh(sent, len(rows.columns) - 2), schema).withColumn("score", F.col("log_weight") + F.col("_noise")).drop("_noise")
+    return rows.mapInArrow(trimmed(_weigh(sent, len(rows.columns) - 2)), schema).withColumn("score", F.col("log_weight") + F.col("_noise")).drop("_noise")
 
 
 def kth_greatest(values: DataFrame, k: int) -> float:

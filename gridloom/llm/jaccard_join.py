@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.hashed import blocks, mix, window_hashes, word_hashes
+from gridloom.llm.hashed import blocks, mix, trimmed, window_hashes, word_hashes
 from gridloom.operators.components import connected_components, extended_components
 from gridloom.storage import discard, materialize, ship
 
@@ -306,7 +306,7 @@ def verify(dealt: DataFrame, docs: DataFrame, reps: DataFrame, ranks) -> DataFra
     small = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
     named = small(wanted.join(reps.select("node", "rep"), "node"))
     texts = docs.join(named, docs["doc_id"].eqNullSafe(named["rep"])).select("text", "node", "groups")
-    sets = texts.mapInArrow(_load(ranks), "groups array<int>, node long, tokens binary, prefixes binary")
+    sets = texts.mapInArrow(trimmed(_load(ranks)), "groups array<int>, node long, tokens binary, prefixes binary")
     sets = sets.select(F.explode("groups").alias("h"), "node", "tokens", "prefixes")
     links = materialize(dealt.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(_verify, "a long, b long"), "links")
     discard(wanted)
@@ -408,7 +408,7 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, text_hash long, node long, n long, bitmap binary, chunk int, counts binary"
-    first = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_members_and_sketch, schema), "members")
+    first = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(trimmed(_members_and_sketch), schema), "members")
     members = first.where("chunk is null").select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"))
     reps = materialize(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "reps")
     total = reps.agg(F.sum("n")).first()[0]
@@ -417,7 +417,7 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ranks = spark.sparkContext.broadcast(_ranks(first.where("chunk is not null").select("chunk", "counts")))
 
     groups = max(8, -(-total // (4 * GROUP_TOKENS)))
-    dealt = docs.select("text").mapInArrow(_deal(ranks, groups), "g int, data binary")
+    dealt = docs.select("text").mapInArrow(trimmed(_deal(ranks, groups)), "g int, data binary")
     met = materialize(dealt.groupBy("g").applyInArrow(_meet, "kind int, x long, y long, place long"), "met")
     pairs = materialize(met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     active = met.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"), "place")

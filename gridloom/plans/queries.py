@@ -89,11 +89,17 @@ def frame_pairs_dt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxel.with_next(_frames(pts(spark, sf_dir))).select("frame_idx", "next_frame", "dt")
 
 
-@query(f"""WITH {PTS_SQL}, f AS (SELECT DISTINCT frame_idx FROM pts),
+_GRID = "CAST(floor(x / 0.5e0) AS BIGINT) AS i, CAST(floor(y / 0.5e0) AS BIGINT) AS j, CAST(floor(z / 0.5e0) AS BIGINT) AS k"
+_SHIFTS = "sh AS (SELECT a.v AS di, b.v AS dj, c.v AS dk FROM (VALUES (-1), (0), (1)) a(v), (VALUES (-1), (0), (1)) b(v), (VALUES (-1), (0), (1)) c(v))"
+
+
+# the same pairs by cells as wide as the gate and their 27 neighbours
+@query(f"""WITH {PTS_SQL}, {_SHIFTS}, f AS (SELECT DISTINCT frame_idx FROM pts),
 g AS (SELECT frame_idx, lead(frame_idx) OVER (ORDER BY frame_idx) AS next_frame FROM f),
-a AS (SELECT pts.*, next_frame FROM pts JOIN g USING (frame_idx) WHERE next_frame IS NOT NULL),
-m AS (SELECT a.frame_idx, a.pid, min({{'d2': (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), 'rid': b.pid}}) AS m
-  FROM a JOIN pts b ON b.frame_idx = a.next_frame AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) < 0.25 GROUP BY 1, 2)
+a AS (SELECT pts.frame_idx, pid, x, y, z, next_frame, {_GRID} FROM pts JOIN g USING (frame_idx) WHERE next_frame IS NOT NULL),
+b AS (SELECT frame_idx AS next_frame, pid AS rid, x AS bx, y AS by_, z AS bz, i + di AS i, j + dj AS j, k + dk AS k FROM (SELECT *, {_GRID} FROM pts), sh),
+m AS (SELECT frame_idx, pid, min({{'d2': (x-bx)*(x-bx) + (y-by_)*(y-by_) + (z-bz)*(z-bz), 'rid': rid}}) AS m
+  FROM a JOIN b USING (next_frame, i, j, k) WHERE (x-bx)*(x-bx) + (y-by_)*(y-by_) + (z-bz)*(z-bz) < 0.25e0 GROUP BY 1, 2)
 SELECT a.frame_idx, a.pid, m.m.rid AS next_pid, m.m IS NOT NULL AS flow_valid FROM a LEFT JOIN m USING (frame_idx, pid)""")
 def nn_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = pts(spark, sf_dir)

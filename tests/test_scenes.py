@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.config import GridConf, SceneConf, TrackConf
 from gridloom.functions import motion
-from gridloom.operators import classify, cluster, distance_field, filters, fusion, ground, neighbours, overlay, tracking, voxel
+from gridloom.operators import classify, cluster, components, distance_field, filters, fusion, ground, neighbours, overlay, tracking, voxel
 from gridloom.operators.components import connected_components
 
 POINTS = "sequence_id string, frame_idx int, pid long, x double, y double, z double, intensity double"
@@ -83,12 +83,16 @@ def test_dbscan_against_brute_force(spark):
     assert [got[i] for i in range(len(p))] == want.tolist()
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("held", [500_000, 12])
+def test_components_of_chains_and_stars(spark, monkeypatch, held):
+    monkeypatch.setattr(components, "FOREST_EDGES", held)
     rng = np.random.default_rng(0)
     order = rng.permutation(60).tolist()
     edges = list(zip(order, order[1:])) + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(60)}, **{100 + i: 100 for i in range(20)}}
+    want = {**{i: 0 for i in range(60)}, **{100 + i: 100 for i in range(20)}}
+    for kind in ("long", "int", "string"):
+        df = spark.createDataFrame(edges, "a long, b long").select(*[(F.lpad(c, 3, "0") if kind == "string" else F.col(c).cast(kind)).alias(c) for c in "ab"])
+        assert {int(r.node): int(r.component) for r in connected_components(df.repartition(7)).collect()} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -33,12 +33,19 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a partition of a table whose size is known beforehand, about; the least partitions of one.
+PART_ROWS, LEAST_PARTS = 50_000, 8
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
     The result has no lineage but its files, so it is read again, not computed again,
-    after an executor is lost. ``discard`` removes it.
+    after an executor is lost. ``discard`` removes it. ``rows``, about, merges what would be many
+    small partitions and files; large tables keep theirs.
     """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_PARTS, rows // PART_ROWS))
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ hash is the sum of its bytes times fixed random multipliers, mixed. The same eve
 from __future__ import annotations
 
 import ctypes
+import inspect
 
 import numpy as np
 import pyarrow as pa
@@ -101,3 +102,22 @@ def trimmed(run):
         trim()
 
     return whole
+
+
+def trimmed_groups(run):
+    """``run``, over a group (key, table) or two that meet (key, left, right) in a worker, followed by :func:`trim`."""
+    # Spark tells the two kinds by the number of arguments
+    if len(inspect.signature(run).parameters) == 2:
+
+        def whole(key, table):
+            out = run(key, table)
+            trim()
+            return out
+    else:
+
+        def whole(key, left, right):
+            out = run(key, left, right)
+            trim()
+            return out
+
+    return whole

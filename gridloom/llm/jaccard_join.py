@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.hashed import blocks, mix, trimmed, window_hashes, word_hashes
+from gridloom.llm.hashed import blocks, mix, trimmed, trimmed_groups, window_hashes, word_hashes
 from gridloom.operators.components import connected_components, extended_components
 from gridloom.storage import discard, materialize, ship
 
@@ -282,12 +282,12 @@ def _in_groups(pairs: DataFrame, rows: int) -> DataFrame:
     ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     near = pairs.join(least, "a").join(least.select(F.col("a").alias("b"), F.col("m").alias("o")), "b").select("a", "b", F.least("m", "o").alias("label"))
-    near = materialize(near, "near")
+    near = materialize(near, "near", rows)
     hot = near.groupBy("label").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / GROUP_PAIRS)).cast("int").alias("parts")).where("parts > 1")
     block = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1)))
     p, q = block("a"), block("b")
     out = near.join(hot, "label", "left").select("a", "b", F.pmod(F.xxhash64("label", F.least(p, q), F.greatest(p, q)), F.lit(groups)).cast("int").alias("g"))
-    out = materialize(out, "dealt")
+    out = materialize(out, "dealt", rows)
     discard(near)
     return out
 
@@ -302,13 +302,13 @@ def verify(dealt: DataFrame, docs: DataFrame, reps: DataFrame, ranks) -> DataFra
 
     The ids wanted are sent to every task up to BROADCAST_IDS; beyond, ids and texts are joined by a shuffle.
     """
-    wanted = materialize(_wanted(dealt), "wanted")
+    wanted = materialize(_wanted(dealt), "wanted", 2 * dealt.count())
     small = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
     named = small(wanted.join(reps.select("node", "rep"), "node"))
     texts = docs.join(named, docs["doc_id"].eqNullSafe(named["rep"])).select("text", "node", "groups")
     sets = texts.mapInArrow(trimmed(_load(ranks)), "groups array<int>, node long, tokens binary, prefixes binary")
     sets = sets.select(F.explode("groups").alias("h"), "node", "tokens", "prefixes")
-    links = materialize(dealt.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(_verify, "a long, b long"), "links")
+    links = materialize(dealt.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(trimmed_groups(_verify), "a long, b long"), "links")
     discard(wanted)
     return links
 
@@ -366,8 +366,8 @@ def _across(key, runs: pa.Table, sets: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
 
 
-def _open_pairs(active: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) across components among ``active`` (token, node, place)."""
+def _open_pairs(active: DataFrame, rows: int, component: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) across components among ``active`` (token, node, place), ``rows`` of them."""
     label = F.coalesce("component", "node").alias("component")
     runs = active.join(component, "node", "left").select("token", "node", "place", label)
     runs = runs.withColumn("prev", F.lag("token").over(Window.partitionBy("node").orderBy("place", "token")))
@@ -388,12 +388,12 @@ def _open_pairs(active: DataFrame, component: DataFrame, sets: DataFrame) -> Dat
         F.when(whole, F.col("token")).otherwise(run).alias("token"), "node", "place", "component",
         F.when(whole | (F.col("me") == F.col("other")), -1).otherwise(F.col("me")).alias("half"), F.xxhash64(F.when(whole, F.col("first")).otherwise(run)).alias("deal"),
     )
-    runs = materialize(runs, "runs")
+    runs = materialize(runs, "runs", rows)
     groups = max(8, runs.count() // GROUP_RUNS)
     dealt = runs.withColumn("g", F.pmod("deal", F.lit(groups)).cast("int"))
     wanted = dealt.select(F.col("g").alias("h"), F.col("node").alias("id"), F.col("component").alias("part")).distinct()
     wanted = wanted.join(sets.select(F.col("node").alias("id"), "n", "bitmap"), "id")
-    pairs = dealt.select("g", "token", "node", "place", "half").groupBy("g").cogroup(wanted.groupBy("h")).applyInArrow(_across, "a long, b long")
+    pairs = dealt.select("g", "token", "node", "place", "half").groupBy("g").cogroup(wanted.groupBy("h")).applyInArrow(trimmed_groups(_across), "a long, b long")
     out = materialize(pairs.distinct(), "open")
     discard(runs)
     return out
@@ -410,29 +410,31 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     schema = "doc_id long, text_hash long, node long, n long, bitmap binary, chunk int, counts binary"
     first = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(trimmed(_members_and_sketch), schema), "members")
     members = first.where("chunk is null").select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles"))
-    reps = materialize(members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "reps")
-    total = reps.agg(F.sum("n")).first()[0]
+    reps = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    reps = materialize(reps, "reps", members.count())
+    total, sets = reps.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not total:
         return members, spark.createDataFrame([], "a long, b long"), reps.select("node", F.col("node").alias("component"), F.col("rep").alias("component_id"))
     ranks = spark.sparkContext.broadcast(_ranks(first.where("chunk is not null").select("chunk", "counts")))
 
     groups = max(8, -(-total // (4 * GROUP_TOKENS)))
     dealt = docs.select("text").mapInArrow(trimmed(_deal(ranks, groups)), "g int, data binary")
-    met = materialize(dealt.groupBy("g").applyInArrow(_meet, "kind int, x long, y long, place long"), "met")
-    pairs = materialize(met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
+    met = materialize(dealt.groupBy("g").applyInArrow(trimmed_groups(_meet), "kind int, x long, y long, place long"), "met")
+    chained, places = met.agg(F.count_if(F.expr("kind = 0")), F.count_if(F.expr("kind = 1"))).first()
+    pairs = materialize(met.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs", chained)
     active = met.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("node"), "place")
     # one bitmap per set, though several tasks may have met it
     outlines = first.where("bitmap is not null").select("node", "n", "bitmap")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(active.select("node")).distinct()
-    outlines = materialize(outlines.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "outlines")
+    outlines = materialize(outlines.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "outlines", sets)
     dealt = _in_groups(pairs, pairs.count())
     maps = _wanted(dealt).join(outlines, "node").select(F.explode("groups").alias("h"), "node", "n", "bitmap")
-    near = materialize(dealt.groupBy("g").cogroup(maps.groupBy("h")).applyInArrow(_bounded, "a long, b long, g int"), "near")
+    near = materialize(dealt.groupBy("g").cogroup(maps.groupBy("h")).applyInArrow(trimmed_groups(_bounded), "a long, b long, g int"), "near")
     discard(pairs, dealt)
 
     links = verify(near, docs, reps, ranks)
     component = connected_components(links)
-    more = _open_pairs(active, component, outlines)
+    more = _open_pairs(active, places, component, outlines)
     discard(near, met, outlines)
     if rows := more.count():
         dealt = _in_groups(more, rows)
@@ -442,7 +444,7 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         links = links.unionByName(further)
     labelled = reps.join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = materialize(labelled.join(least, "component").select("node", "component", "component_id"), "classes")
+    classes = materialize(labelled.join(least, "component").select("node", "component", "component_id"), "classes", sets)
     discard(reps, more, component, *([known] if rows else []))
     return members, links, classes
 
@@ -470,7 +472,7 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     stays = rows.groupBy("component").agg(F.min(key).alias("k"))
     rows = rows.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).join(stays, "component")
-    judged = materialize(rows.select("doc_id", "text_hash", "n", (key == F.col("k")).alias("stays")).where("n > 1 or not stays"), "judged")
+    judged = materialize(rows.select("doc_id", "text_hash", "n", (key == F.col("k")).alias("stays")).where("n > 1 or not stays"), "judged", members.count())
     small = F.broadcast if judged.count() <= BROADCAST_IDS else (lambda x: x)
     hashed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64(F.col("text").cast("string"))})
     listed = judged.select(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2"), "stays")

@@ -183,8 +183,9 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"z{i}") ** 2 for i in range(len(STATS))])).drop(*[f"z{i}" for i in range(len(STATS))])
 
 
-def fit_mcd(points: DataFrame, broadcast: bool) -> DataFrame:
-    """(g, n, m*, c**) per ``g`` of ``points`` (g, x0..x4): documents, mean and consistent covariance of the core."""
+def fit_mcd(points: DataFrame, broadcast: bool, groups: int | None = None) -> DataFrame:
+    """(g, n, m*, c**) per ``g``, of ``groups``, of ``points`` (g, x0..x4): documents, mean and consistent covariance of the core."""
+    rows = groups and 2 * groups
     small = F.broadcast if broadcast else (lambda x: x)
     # a start may be coarse; few distinct values keep the exact percentiles small
     coarse = lambda c: F.round(F.col(c) / START_STEP).cast("long")
@@ -194,7 +195,7 @@ def fit_mcd(points: DataFrame, broadcast: bool) -> DataFrame:
         ((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) ** 2 / 1.82 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS
     ])
     classic = _model(points.groupBy("g").agg(*_moments()).withColumn("start", F.lit(1)), ["g", "start"], [])
-    model = materialize(_factor(_regular(robust)).unionByName(classic).withColumn("n", F.lit(0).cast("long")), "mcd")
+    model = materialize(_factor(_regular(robust)).unionByName(classic).withColumn("n", F.lit(0).cast("long")), "mcd", rows)
     upto = Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(STEPS):
         near = _distance(points.join(small(model.drop("n")), "g"))
@@ -202,13 +203,13 @@ def fit_mcd(points: DataFrame, broadcast: bool) -> DataFrame:
         bins = near.groupBy("g", "start", "bin").agg(*_moments())
         bins = bins.withColumn("_before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("_all", F.sum("n").over(Window.partitionBy("g", "start")))
         core = bins.where(F.col("_before") < CORE * F.col("_all")).groupBy("g", "start").agg(F.max("_all").alias("_all"), *[F.sum(c).alias(c) for c in _SUMS])
-        old, model = model, materialize(_model(core, ["g", "start"], ["_all"]).withColumnRenamed("_all", "n"), "mcd")
+        old, model = model, materialize(_model(core, ["g", "start"], ["_all"]).withColumnRenamed("_all", "n"), "mcd", rows)
         discard(old)
     dims = range(len(STATS))
     best = model.groupBy("g").agg(F.min(F.struct("logdet", "start", "n", *[f"m{i}" for i in dims], *[f"c{i}{j}" for i, j in _PAIRS])).alias("b"))
     factor = consistency(CORE, len(STATS))
     best = best.select("g", "b.n", *[f"b.m{i}" for i in dims], *[(F.col(f"b.c{i}{j}") * factor).alias(f"c{i}{j}") for i, j in _PAIRS])
-    best = materialize(best, "mcd")
+    best = materialize(best, "mcd", rows)
     discard(model)
     return best
 
@@ -241,16 +242,17 @@ def quality_rules(docs: DataFrame, level: float = LEVEL, carry: list[str] | None
 def _judge(counted: DataFrame, cutoff: float) -> DataFrame:
     points = materialize(counted.where(~F.col("base_failed")).select("_l", "_g", *[c.alias(n) for n, c in statistics().items()]), "points")
     groups = materialize(points.select("_l", "_g").distinct(), "groups")
-    small = F.broadcast if groups.count() <= BROADCAST_GROUPS else (lambda x: x)
+    count = groups.count()
+    small = F.broadcast if count <= BROADCAST_GROUPS else (lambda x: x)
     # each document counts for all, its language and its source there
     levels = F.explode(F.array(F.lit("0"), F.concat(F.lit("1"), F.col("_l")), F.concat(F.lit("2"), F.col("_g"))))
-    fitted = fit_mcd(points.select(levels.alias("g"), *STATS), groups.count() <= BROADCAST_GROUPS // 3)
+    fitted = fit_mcd(points.select(levels.alias("g"), *STATS), count <= BROADCAST_GROUPS // 3, 2 * count + 1)
     everything = fitted.where("g = '0'").withColumn("_k", F.lit(0))
     weigh = lambda c, wide: (F.col("n") * F.col(c) + DRAW_ALL * F.lit(wide)) / (F.col("n") + DRAW_ALL)
     everything = everything.withColumns({f"c{i}{j}": weigh(f"c{i}{j}", WIDE**2 if i == j else 0.0) for i, j in _PAIRS})
     langs = _drawn(fitted.where("g like '1%'").withColumns({"_l": F.substring("g", 2, 1 << 30), "_k": F.lit(0)}).drop("g"), everything.drop("g", "n"), "_k")
     own = fitted.where("g like '2%'").withColumn("_g", F.substring("g", 2, 1 << 30)).drop("g").join(groups, "_g")
-    model = materialize(_factor(_drawn(own, langs.select("_l", *[c for c in langs.columns if c[0] in "mc"]), "_l")).drop("_l", "n", "logdet", *[f"c{i}{j}" for i, j in _PAIRS]), "mcd")
+    model = materialize(_factor(_drawn(own, langs.select("_l", *[c for c in langs.columns if c[0] in "mc"]), "_l")).drop("_l", "n", "logdet", *[f"c{i}{j}" for i, j in _PAIRS]), "mcd", count)
     discard(points, groups, fitted)
     judged = _distance(counted.withColumns(statistics()).join(small(model), "_g", "left"))
     judged = judged.withColumn("distance2", F.when(~F.col("base_failed"), F.col("d2")))

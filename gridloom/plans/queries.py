@@ -114,8 +114,7 @@ def _scaled(points: DataFrame) -> DataFrame:
 SELECT a.frame_idx, a.pid, CAST(count(*) AS BIGINT) AS neighbours FROM p a JOIN p b ON a.frame_idx = b.frame_idx
   AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.5e0 * 0.5e0 GROUP BY 1, 2""")
 def dbscan_core_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts = cluster.core_counts(_scaled(pts(spark, sf_dir)), 0.5)
-    return counts.select("frame_idx", "pid", "neighbours")
+    return neighbours.neighbour_counts(_scaled(pts(spark, sf_dir)), 0.5, cluster.KEYS).select("frame_idx", "pid", "neighbours")
 
 
 @query()

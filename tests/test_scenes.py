@@ -12,6 +12,7 @@ from gridloom.config import GridConf, SceneConf, TrackConf
 from gridloom.functions import motion
 from gridloom.operators import classify, cluster, components, distance_field, filters, fusion, ground, neighbours, overlay, tracking, voxel
 from gridloom.operators.components import connected_components
+from gridloom.plans import queries
 
 POINTS = "sequence_id string, frame_idx int, pid long, x double, y double, z double, intensity double"
 
@@ -56,6 +57,28 @@ def test_flow_gate_is_strict_and_small_steps_count(spark):
     assert round(neighbours.nn_flow(q, voxel.with_next(still)).first().vx, 6) == 1000.0
 
 
+def copies_and_rows(rng, n):
+    """Points on lines, many of them more than once, over several blocks of a radius of 0.5."""
+    p = np.stack([rng.integers(-15, 15, n) * 0.4, rng.integers(-400, 400, n) * 0.02, rng.integers(0, 6, n) * 0.1], axis=1)
+    return np.concatenate([p, p[: n // 3], np.repeat(p[:1], 50, axis=0)])
+
+
+def no_pairs(*args, **kwargs):
+    raise AssertionError("a row per pair")
+
+
+def test_neighbours_are_counted_without_a_row_per_pair(spark, monkeypatch):
+    for module in (neighbours, cluster):
+        monkeypatch.setattr(module, "near_pairs", no_pairs)
+    p = copies_and_rows(np.random.default_rng(5), 400) * 2.5
+    rows = [("s", i, *map(float, r), 1.0) for i, r in enumerate([*p.tolist(), [float("nan"), 0, 0], [0, float("inf"), 0]])]
+    monkeypatch.setattr(queries, "pts", lambda *_: spark.createDataFrame([(r[0], 0, *r[1:]) for r in rows], POINTS))
+    d = p[:, None] * [1, 1, 0.5] - p[None] * [1, 1, 0.5]
+    want = ((d**2).cumsum(axis=2)[:, :, 2] <= 0.25).sum(axis=1)
+    got = {r.pid: r.neighbours for r in queries.dbscan_core_points(spark, "").collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def brute_dbscan(p, eps, least):
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) <= eps
     core, label, n = d.sum(1) >= least, np.full(len(p), -1), 0

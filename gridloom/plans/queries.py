@@ -102,7 +102,7 @@ m AS (SELECT frame_idx, pid, min({{'d2': (x-bx)*(x-bx) + (y-by_)*(y-by_) + (z-bz
   FROM a JOIN b USING (next_frame, i, j, k) WHERE (x-bx)*(x-bx) + (y-by_)*(y-by_) + (z-bz)*(z-bz) < 0.25e0 GROUP BY 1, 2)
 SELECT a.frame_idx, a.pid, m.m.rid AS next_pid, m.m IS NOT NULL AS flow_valid FROM a LEFT JOIN m USING (frame_idx, pid)""")
 def nn_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = pts(spark, sf_dir)
+    points = pts(spark, sf_dir).select("sequence_id", "frame_idx", "pid", "x", "y", "z")
     return neighbours.nn_flow(points, voxel.with_next(_frames(points)), 0.5).select("frame_idx", "pid", "next_pid", "flow_valid")
 
 

@@ -79,6 +79,23 @@ def test_neighbours_are_counted_without_a_row_per_pair(spark, monkeypatch):
     assert got == dict(enumerate(want.tolist()))
 
 
+def test_flow_without_a_row_per_pair(spark, monkeypatch):
+    """Of equally near points the smallest pid, copies too; points without distance stay and have none."""
+    monkeypatch.setattr(neighbours, "near_pairs", no_pairs)
+    rng = np.random.default_rng(6)
+    p, q = copies_and_rows(rng, 300) * 2.5, copies_and_rows(rng, 300) * 2.5
+    points = cloud(spark, [*p.tolist(), [float("nan"), 0, 0]]).union(cloud(spark, [*q.tolist(), [float("nan"), 0, 0]], 1))
+    frames = spark.createDataFrame([("s", 0, 0.0), ("s", 1, 0.5)], "sequence_id string, frame_idx int, ts double")
+    out = {r.pid: r for r in neighbours.nn_flow(points, voxel.with_next(frames), 0.5).collect()}
+    d2 = ((p[:, None] - q[None]) ** 2).cumsum(axis=2)[:, :, 2]
+    for i, d in enumerate(d2):
+        best = int(d.argmin())
+        met = d[best] < 0.25
+        assert (out[i].next_pid, out[i].flow_valid) == ((best, True) if met else (None, False))
+        assert [out[i].vx, out[i].vz] == (((q[best] - p[i]) / 0.5)[[0, 2]].tolist() if met else [0.0, 0.0])
+    assert len(out) == len(p) + 1 and not out[len(p)].flow_valid
+
+
 def brute_dbscan(p, eps, least):
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) <= eps
     core, label, n = d.sum(1) >= least, np.full(len(p), -1), 0

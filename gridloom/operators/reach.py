@@ -22,7 +22,7 @@ def _d2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
 
 
-def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """first[i], first[i] + 1, .. of each i, n[i] of them."""
     ends = np.cumsum(n)
     return np.arange(ends[-1] if len(n) else 0) + np.repeat(first - (ends - n), n)
@@ -48,12 +48,12 @@ def distinct(points: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
 def best_axis(points: np.ndarray, radius: float) -> int:
     """The axis whose lines leave the least to look at."""
     cost = []
-    for axis in range(3):
+    for axis in range(3 if points.size else 0):
         order, first = distinct(points, axis)
         lines = Lines(points[:, order[first]], axis, radius)
         _, cell, n = np.unique(lines.cells, axis=1, return_inverse=True, return_counts=True)
         cost.append(float((n[cell.ravel()] * np.diff(lines.start)).sum()))
-    return int(np.argmin(cost))
+    return int(np.argmin(cost)) if cost else 0
 
 
 class Lines:
@@ -85,7 +85,7 @@ def _lines_in_reach(left: Lines, right: Lines, near: Callable) -> Iterator[tuple
     n = np.where(rows < past[:, None], np.searchsorted(key, rows * (len(v) + 1) + hi[:, None]) - first, 0)
     for a, b in _chunks(n.sum(axis=1)):
         line = np.repeat(np.arange(a, b), n[a:b].sum(axis=1))
-        other = by_cell[_ranges(first[a:b].ravel(), n[a:b].ravel())]
+        other = by_cell[ranges(first[a:b].ravel(), n[a:b].ravel())]
         met = near(_d2(left.head[:, line], right.head[:, other]))
         yield a, b, line[met], other[met]
 
@@ -101,7 +101,7 @@ def _meetings(left: Lines, right: Lines, near: Callable, later: bool = False) ->
         place = np.arange(left.start[a], left.start[b])
         first, place, each = first[each > 0], place[each > 0], each[each > 0]
         for c, d in _chunks(each):
-            yield place[c:d], np.cumsum(each[c:d]) - each[c:d], np.repeat(place[c:d], each[c:d]), other[_ranges(first[c:d], each[c:d])]
+            yield place[c:d], np.cumsum(each[c:d]) - each[c:d], np.repeat(place[c:d], each[c:d]), other[ranges(first[c:d], each[c:d])]
 
 
 def _first_not(right: Lines, line: np.ndarray, guess: np.ndarray, before: Callable) -> np.ndarray:

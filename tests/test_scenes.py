@@ -123,6 +123,19 @@ def test_dbscan_against_brute_force(spark):
     assert [got[i] for i in range(len(p))] == want.tolist()
 
 
+def test_dbscan_over_blocks_without_a_row_per_pair(spark, monkeypatch):
+    """Clusters that reach over several blocks, border points between clusters, copies and points without distance."""
+    monkeypatch.setattr(cluster, "near_pairs", no_pairs)
+    rng = np.random.default_rng(7)
+    p = np.concatenate([copies_and_rows(rng, 500) * [2, 2, 4], np.stack([np.linspace(-20, 20, 200), np.full(200, 3.0), np.zeros(200)], axis=1), rng.uniform(-12, 12, (400, 3)) * [1, 1, 0.1]])
+    p = p[rng.permutation(len(p))]
+    for least in (3, 6):
+        want = brute_dbscan(p * [1, 1, 0.5], 0.5, least)
+        got = {r.pid: r.label for r in cluster.dbscan(cloud(spark, [*p.tolist(), [float("nan"), 0, 0]]).withColumn("x", F.when(F.col("pid") < len(p), F.col("x"))), 0.5, least).collect()}
+        assert [got[i] for i in range(len(p))] == want.tolist() and got[len(p)] == -1
+        assert len(set(want.tolist())) > 5
+
+
 @pytest.mark.parametrize("held", [500_000, 12])
 def test_components_of_chains_and_stars(spark, monkeypatch, held):
     monkeypatch.setattr(components, "FOREST_EDGES", held)

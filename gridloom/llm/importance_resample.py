@@ -39,7 +39,7 @@ MISS = 0.01
 FEW = 10_000
 SEED = 11
 #: Bytes of text that a worker takes apart at once, about.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 _CHUNKS = 16
 
 

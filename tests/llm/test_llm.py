@@ -688,3 +688,22 @@ def test_one_row_of_each_component_stays(spark, awkward):
     assert out.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:5]) for r in out.collect()) == [(False, 3, "somet"), (False, 3, "w0 w1"), (False, 9, ""), (False, 9, ""), (True, 0, "alone")]
     assert jaccard_join.one_per_component(awkward.limit(0)).count() == 0
+
+
+def test_resampling_takes_texts_apart_in_small_blocks():
+    """A worker counts a batch of 4 MB of text in less than 25 MB besides."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.llm import importance_resample
+
+    words = np.random.default_rng(0).integers(0, 5000, (2000, 400))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(2000), pa.int64()), "text": [" ".join(map(str, w)) for w in words]})
+    tracemalloc.start()
+    list(importance_resample._count(SimpleNamespace(value=np.arange(3)))(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6

@@ -9,8 +9,10 @@ share a token among the first few of either (their prefixes) in *every* global o
    as many pairs as sets. Sizes, the token's places and an exact bound on the overlap (bitmaps of the sets) rule
    most chance meetings out; the rest are verified if they also share prefix tokens in the other orders.
 3. Linked sets need no further pairs among themselves, as components are asked for. Where a token still joins
-   several components, all pairs across components that those bounds allow go the same way. A token whose sets all
-   have one same shared token before it adds no pairs to that one's and is left out; tokens are dealt by
+   several components, the pairs across components that those bounds allow go the same way while they are few for
+   their sets. Sets that such pairs connect densely are a crowd: they are gathered, by blocks, and verified where they
+   meet, pair by pair until they are linked, so a crowd costs a row per set and block and none per pair. A token whose
+   sets all have one same shared token before it adds no pairs to that one's and is left out; tokens are dealt by
    the least of their sets, so that tokens of one passage, with the same sets, go together.
 
 So groups of copies, of near copies and of sets with a common passage never become all their pairs, and no
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.llm.hashed import blocks, mix, trimmed, trimmed_groups, window_hashes, word_hashes
-from gridloom.operators.components import connected_components, extended_components
+from gridloom.operators.components import _hung, connected_components, extended_components
 from gridloom.storage import discard, materialize, ship
 
 #: Threshold as a ratio of whole numbers: overlap / union >= NUM / DEN.
@@ -45,6 +48,8 @@ SKETCH_BITS, SKETCH_CHUNKS = 20, 16
 GROUP_TOKENS, GROUP_PAIRS, GROUP_RUNS = 2_000_000, 2_000, 100_000
 #: Nodes of a token that are paired across components in one task.
 RUN_NODES = 4096
+#: Candidate pairs a node, on average, beyond which nodes that pairs connect are a crowd; tokens of a block of one; pairs a task holds at most, about.
+CROWD_PAIRS, CROWD_TOKENS, HELD_PAIRS = 4, 1_000_000, 2_000_000
 #: Ids sent to every task at most; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Places in a prefix are cut below this; it marks the first token of a set within a group.
@@ -53,6 +58,8 @@ _SALTS = [np.uint64(0), *(mix(np.arange(1, 1 + MORE_ORDERS, dtype=np.uint64)))]
 
 
 FIRST = ["doc_id", "text_hash", "node", "n", "bitmap", "chunk", "counts"]
+#: Pairs (a, b), or members a of crowds, told apart by g and crowd, with their component and size.
+CANDIDATES = ["a", "b", "g", "crowd", "part", "n"]
 
 
 def prefix_length(n: int) -> int:
@@ -256,18 +263,24 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _linked(p: tuple[np.ndarray, list[np.ndarray]], q: tuple[np.ndarray, list[np.ndarray]]) -> bool:
+    """Whether sets, each as its tokens and its prefixes in the further orders, reach the threshold; the orders' filters first."""
+    if not all(_common(x, y) for x, y in zip(p[1], q[1], strict=True)):
+        return False
+    both = _common(p[0], q[0])
+    return DEN * both >= NUM * (len(p[0]) + len(q[0]) - both)
+
+
+def _split(sets: pa.Table) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Tokens, and prefixes in the further orders, of each of ``sets``."""
+    read = lambda x: np.frombuffer(x.as_py(), np.uint64)
+    return [(read(x), np.split(read(y), MORE_ORDERS)) for x, y in zip(sets["tokens"], sets["prefixes"], strict=True)]
+
+
 def _verify(key, pairs: pa.Table, sets: pa.Table) -> pa.Table:
     where = {n: i for i, n in enumerate(sets["node"].to_pylist())}
-    tokens = [np.frombuffer(x.as_py(), np.uint64) for x in sets["tokens"]]
-    prefixes = [np.split(np.frombuffer(x.as_py(), np.uint64), MORE_ORDERS) for x in sets["prefixes"]]
-    links = []
-    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
-        i, j = where[a], where[b]
-        # every further order's filter first
-        if all(_common(p, q) for p, q in zip(prefixes[i], prefixes[j], strict=True)):
-            both = _common(tokens[i], tokens[j])
-            if DEN * both >= NUM * (len(tokens[i]) + len(tokens[j]) - both):
-                links.append((a, b))
+    known = _split(sets)
+    links = [(a, b) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True) if _linked(known[where[a]], known[where[b]])]
     cols = list(zip(*links, strict=True)) if links else [(), ()]
     return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
@@ -297,17 +310,22 @@ def _wanted(dealt: DataFrame) -> DataFrame:
     return dealt.select("g", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_set("g").alias("groups"))
 
 
-def verify(dealt: DataFrame, docs: DataFrame, reps: DataFrame, ranks) -> DataFrame:
-    """The links among ``dealt`` (a, b, group g), from the texts of the documents ``reps`` (node, rep) names.
+def _sets(wanted: DataFrame, docs: DataFrame, reps: DataFrame, ranks) -> DataFrame:
+    """(h, node, tokens, prefixes) for each group h of ``wanted`` (node, groups), from the texts of the documents ``reps`` (node, rep) names.
 
     The ids wanted are sent to every task up to BROADCAST_IDS; beyond, ids and texts are joined by a shuffle.
     """
-    wanted = materialize(_wanted(dealt), "wanted", 2 * dealt.count())
     small = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda x: x)
     named = small(wanted.join(reps.select("node", "rep"), "node"))
     texts = docs.join(named, docs["doc_id"].eqNullSafe(named["rep"])).select("text", "node", "groups")
     sets = texts.mapInArrow(trimmed(_load(ranks)), "groups array<int>, node long, tokens binary, prefixes binary")
-    sets = sets.select(F.explode("groups").alias("h"), "node", "tokens", "prefixes")
+    return sets.select(F.explode("groups").alias("h"), "node", "tokens", "prefixes")
+
+
+def verify(dealt: DataFrame, docs: DataFrame, reps: DataFrame, ranks) -> DataFrame:
+    """The links among ``dealt`` (a, b, group g)."""
+    wanted = materialize(_wanted(dealt), "wanted", 2 * dealt.count())
+    sets = _sets(wanted, docs, reps, ranks)
     links = materialize(dealt.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(trimmed_groups(_verify), "a long, b long"), "links")
     discard(wanted)
     return links
@@ -318,56 +336,140 @@ def _fold(bitmaps: np.ndarray) -> np.ndarray:
     return bitmaps[:, :half] | bitmaps[:, half:]
 
 
+class _Outlines:
+    """Bitmaps of sets of ``n`` tokens, which ascend, by width."""
+
+    def __init__(self, n: np.ndarray, own: list[np.ndarray]):
+        self.n, self.words = n, np.array([len(x) for x in own])
+        # those of the next width are folded in; row: where in its width's table a set stands
+        self.full: dict[int, np.ndarray] = {}
+        self.row = {w: np.zeros(len(own), np.int64) for w in {*self.words.tolist(), *(self.words // 2).tolist()}}
+        for w, row in self.row.items():
+            mine, wide = np.flatnonzero(self.words == w), np.flatnonzero(self.words == 2 * w)
+            row[mine], row[wide] = np.arange(len(mine)), len(mine) + np.arange(len(wide))
+            folded = _fold(np.stack([own[i] for i in wide.tolist()])) if len(wide) else np.empty((0, w), np.uint64)
+            self.full[w] = np.concatenate([np.stack([own[i] for i in mine.tolist()]) if len(mine) else np.empty((0, w), np.uint64), folded])
+
+    def upto(self, at: np.ndarray) -> np.ndarray:
+        """For each of the sets ``at``, which ascend, the place there past the last that is not too large for it."""
+        return np.searchsorted(self.n[at], self.n[at] * DEN // NUM, "right")
+
+    def allowed(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Those of the sets ``j``, none smaller than ``i`` nor too large, whose bitmaps allow enough overlap with it."""
+        found, w = [], self.words[i]
+        for v in (w, 2 * w):  # a set of a third more tokens has the same width or the next
+            g = j[self.words[j] == v]
+            if len(g):
+                mine, theirs, want = self.full[w][self.row[w][i]], self.full[w][self.row[w][g]], _need(self.n[i], self.n[g])
+                lost_i = np.bitwise_count(mine & ~theirs).sum(axis=1)
+                lost_j = np.bitwise_count(theirs & ~mine).sum(axis=1)
+                found.append(g[(self.n[i] - lost_i >= want) & (self.n[g] - lost_j >= want)])
+        return np.concatenate(found) if found else j[:0]
+
+
+def _crowded(pairs: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """``pairs`` (i * len(home) + j) that stay pairs. Of nodes that too many of them connect, and of crowds those touch, ``home`` is set
+    to one of them; it is -1 outside of crowds. Pairs within a crowd go."""
+    n = len(home)
+    pairs = np.unique(pairs)
+    pairs = pairs[(home[pairs // n] < 0) | (home[pairs // n] != home[pairs % n])]
+    i, j = pairs // n, pairs % n
+    label = np.arange(n)
+    node, least = _hung(i, j)
+    label[node] = least
+    ends = np.unique(np.concatenate([i, j]))
+    dense = np.bincount(label[i], minlength=n) > CROWD_PAIRS * np.bincount(label[ends], minlength=n)
+    new, old = ends[dense[label[ends]]], np.flatnonzero(home >= 0)
+    if len(new):
+        root = np.arange(n)
+        node, least = _hung(np.concatenate([new, old]), np.concatenate([label[new], home[old]]))
+        root[node] = least
+        home[new], home[old] = root[new], root[old]
+    return pairs[~dense[label[i]]]
+
+
 def _across(key, runs: pa.Table, sets: pa.Table) -> pa.Table:
-    """Pairs of nodes that meet at a token, from different components, and that sizes and bitmaps allow to link."""
+    """Pairs (a, b) of nodes that meet at a token, from different components, and that sizes and bitmaps allow to link. Nodes that
+    they connect densely are rows (a, g, crowd, part, n) without b instead: any two of a crowd may link."""
     by_size = np.argsort(sets["n"].to_numpy(), kind="stable")
     nodes, n, part = (sets[c].to_numpy()[by_size] for c in ("id", "n", "part"))
     raw = sets["bitmap"].to_pylist()
-    own = [np.frombuffer(raw[i], np.uint64) for i in by_size.tolist()]
-    words = np.array([len(x) for x in own])
-    # bitmaps by width, those of the next width folded in; row: where in its width's table a set stands
-    full: dict[int, np.ndarray] = {}
-    row = {w: np.zeros(len(own), np.int64) for w in {*words.tolist(), *(words // 2).tolist()}}
-    for w in row:
-        mine, wide = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
-        row[w][mine], row[w][wide] = np.arange(len(mine)), len(mine) + np.arange(len(wide))
-        folded = _fold(np.stack([own[i] for i in wide.tolist()])) if len(wide) else np.empty((0, w), np.uint64)
-        full[w] = np.concatenate([np.stack([own[i] for i in mine.tolist()]) if len(mine) else np.empty((0, w), np.uint64), folded])
+    outlines = _Outlines(n, [np.frombuffer(raw[i], np.uint64) for i in by_size.tolist()])
     place = np.argsort(nodes, kind="stable")
     index = place[np.searchsorted(nodes[place], runs["node"].to_numpy())]
     token, mark, place_at = runs["token"].to_numpy(), runs["half"].to_numpy(), runs["place"].to_numpy()
     by = np.lexsort((index, token))
     index, token, mark, place_at = index[by], token[by], mark[by], place_at[by]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    found = []
+    home, found, held = np.full(len(nodes), -1), [np.zeros(0, np.int64)], 0
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(token)], strict=True):
         at, side, rest = index[s:e], mark[s:e], n[index[s:e]] - place_at[s:e]
         if part[at[0]] == part[at].min() == part[at].max():
             continue
-        upto = np.searchsorted(n[at], n[at] * DEN // NUM, "right")
+        upto = outlines.upto(at)
         for k, i in enumerate(at.tolist()):
             j, need = at[k + 1 : upto[k]], _need(n[i], n[at[k + 1 : upto[k]]])
             ok = (part[j] != part[i]) & (rest[k] >= need) & (rest[k + 1 : upto[k]] >= need)
+            if home[i] >= 0:
+                ok &= home[j] != home[i]
             if side[k] >= 0:  # of two blocks of a large run only pairs between them
                 ok &= side[k + 1 : upto[k]] != side[k]
-            j, need = j[ok], need[ok]
-            if not len(j):
-                continue
-            for w in (words[i], 2 * words[i]):  # a set of a third more tokens has the same width or the next
-                g, want = j[words[j] == w], need[words[j] == w]
-                if len(g):
-                    mine, theirs = full[words[i]][row[words[i]][i]], full[words[i]][row[words[i]][g]]
-                    lost_i = np.bitwise_count(mine & ~theirs).sum(axis=1)
-                    lost_j = np.bitwise_count(theirs & ~mine).sum(axis=1)
-                    ok = g[(n[i] - lost_i >= want) & (n[g] - lost_j >= want)]
-                    found.append(np.stack([np.full(len(ok), nodes[i]), nodes[ok]]))
-    pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-    pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-    return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
+            if len(j := outlines.allowed(i, j[ok])):
+                found.append(i * np.int64(len(nodes)) + j)
+                held += len(j)
+            if held >= HELD_PAIRS:
+                # what stays is bounded by the nodes
+                found, held = [_crowded(np.concatenate(found), home)], 0
+    pairs = _crowded(np.concatenate(found), home)
+    some = np.flatnonzero(home >= 0)
+    ends = np.sort(np.stack([nodes[pairs // len(nodes)], nodes[pairs % len(nodes)]]), axis=0)
+    none = lambda k: pa.nulls(k, pa.int64())
+    group = np.full(len(nodes), key[0].as_py())
+    columns = [(ends[0], nodes[some]), (ends[1], none(len(some))), *[(none(len(pairs)), x[some].astype(np.int64)) for x in (group, nodes[home], part, n)]]
+    return pa.table({c: pa.chunked_array([pa.array(x), pa.array(y)], pa.int64()) for c, (x, y) in zip(CANDIDATES, columns, strict=True)})
+
+
+def _crowd_links(key, members: pa.Table, sets: pa.Table) -> pa.Table:
+    """Links among ``members`` (node, half, part), whose sets are ``sets``, that connect all that similar pairs across parts and halves do."""
+    order = {x: i for i, x in enumerate(sets["node"].to_pylist())}
+    known = _split(sets)
+    at = np.array([order[x] for x in members["node"].to_pylist()])
+    size = np.array([len(t) for t, _ in known], np.int64)
+    by = np.argsort(size[at], kind="stable")
+    at, node, half = at[by], members["node"].to_numpy()[by], members["half"].to_numpy()[by]
+    part = np.unique(members["part"].to_numpy()[by], return_inverse=True)[1]
+    outlines = _Outlines(size[at], [_bitmap(known[i][0]) for i in at.tolist()])
+    links = []
+    for i, upto in enumerate(outlines.upto(np.arange(len(at))).tolist()):
+        j = np.arange(i + 1, upto)
+        for k in outlines.allowed(i, j[(part[j] != part[i]) & ((half[i] < 0) | (half[j] != half[i]))]).tolist():
+            # what a link has joined needs no other
+            if part[k] != part[i] and _linked(known[at[i]], known[at[k]]):
+                part[part == part[k]] = part[i]
+                links.append((node[i], node[k]))
+    ends = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
+
+def _verify_crowds(members: DataFrame, docs: DataFrame, reps: DataFrame, ranks) -> DataFrame:
+    """Links that connect what similar pairs within the crowds of ``members`` (a, g, crowd, part, n) connect; see :data:`CANDIDATES`.
+
+    A crowd of more than CROWD_TOKENS tokens is met by two of its blocks at a time.
+    """
+    size = members.groupBy("g", "crowd").agg(F.ceil(F.sum("n") / CROWD_TOKENS).cast("int").alias("parts"))
+    cells = members.join(size, ["g", "crowd"]).withColumn("me", F.pmod(F.xxhash64("a", "crowd"), F.col("parts")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    half = F.when(F.col("me") == F.col("other"), -1).otherwise(F.col("me")).alias("half")
+    cells = materialize(cells.select(F.hash("g", "crowd", F.least("me", "other"), F.greatest("me", "other")).alias("g"), F.col("a").alias("node"), half, "part"), "crowds")
+    wanted = materialize(cells.groupBy("node").agg(F.collect_set("g").alias("groups")), "wanted")
+    sets = _sets(wanted, docs, reps, ranks)
+    links = materialize(cells.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(trimmed_groups(_crowd_links), "a long, b long"), "links")
+    discard(cells, wanted)
+    return links
 
 
 def _open_pairs(active: DataFrame, rows: int, component: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) across components among ``active`` (token, node, place), ``rows`` of them."""
+    """:data:`CANDIDATES` across components among ``active`` (token, node, place), ``rows`` of them."""
     label = F.coalesce("component", "node").alias("component")
     runs = active.join(component, "node", "left").select("token", "node", "place", label)
     runs = runs.withColumn("prev", F.lag("token").over(Window.partitionBy("node").orderBy("place", "token")))
@@ -393,8 +495,8 @@ def _open_pairs(active: DataFrame, rows: int, component: DataFrame, sets: DataFr
     dealt = runs.withColumn("g", F.pmod("deal", F.lit(groups)).cast("int"))
     wanted = dealt.select(F.col("g").alias("h"), F.col("node").alias("id"), F.col("component").alias("part")).distinct()
     wanted = wanted.join(sets.select(F.col("node").alias("id"), "n", "bitmap"), "id")
-    pairs = dealt.select("g", "token", "node", "place", "half").groupBy("g").cogroup(wanted.groupBy("h")).applyInArrow(trimmed_groups(_across), "a long, b long")
-    out = materialize(pairs.distinct(), "open")
+    met = dealt.select("g", "token", "node", "place", "half").groupBy("g").cogroup(wanted.groupBy("h"))
+    out = materialize(met.applyInArrow(trimmed_groups(_across), ", ".join(f"{c} long" for c in CANDIDATES)), "open")
     discard(runs)
     return out
 
@@ -436,16 +538,23 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     component = connected_components(links)
     more = _open_pairs(active, places, component, outlines)
     discard(near, met, outlines)
-    if rows := more.count():
-        dealt = _in_groups(more, rows)
-        further = verify(dealt, docs, reps, ranks)
+    further = []
+    between = materialize(more.where("b is not null").select("a", "b").distinct(), "between")
+    if rows := between.count():
+        dealt = _in_groups(between, rows)
+        further.append(verify(dealt, docs, reps, ranks))
         discard(dealt)
-        known, component = component, extended_components(component, further)
-        links = links.unionByName(further)
+    crowds = more.where("b is null").drop("b")
+    if not crowds.isEmpty():
+        further.append(_verify_crowds(crowds, docs, reps, ranks))
+    if further:
+        found = reduce(DataFrame.unionByName, further)
+        known, component = component, extended_components(component, found)
+        links = links.unionByName(found)
     labelled = reps.join(component, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = materialize(labelled.join(least, "component").select("node", "component", "component_id"), "classes", sets)
-    discard(reps, more, component, *([known] if rows else []))
+    discard(reps, more, between, component, *([known] if further else []))
     return members, links, classes
 
 

@@ -642,6 +642,25 @@ def test_join_against_brute_force(spark, monkeypatch, run_nodes):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("block, held", [(1_000_000, 2_000_000), (4_000, 500)])
+def test_join_of_near_copies_without_a_row_per_pair(spark, monkeypatch, block, held):
+    monkeypatch.setattr(jaccard_join, "CROWD_TOKENS", block, raising=False)
+    monkeypatch.setattr(jaccard_join, "HELD_PAIRS", held, raising=False)
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for n in range(240):
+        w = list(base)
+        for _ in range(int(rng.integers(2, 6))):
+            w[int(rng.integers(len(w)))] = f"x{n}"
+        texts.append(" ".join(w))
+    rows, dealt = [], jaccard_join._in_groups
+    monkeypatch.setattr(jaccard_join, "_in_groups", lambda pairs, n: dealt(pairs, rows.append(n) or n))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs_of(spark, texts).repartition(6)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+    # the first are the chained pairs; the nodes of the others may be in several groups
+    assert len(rows) and sum(rows[1:]) <= 8 * len(texts)
+
+
 def test_join_awkward(spark, awkward):
     out = jaccard_join.jaccard_components(awkward)
     assert out.count() == awkward.count()

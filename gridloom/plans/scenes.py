@@ -24,13 +24,14 @@ def process_frames(points: DataFrame, frames: DataFrame, conf: SceneConf = Scene
     """frames, points, members and clusters of the scenes: every frame but the last, which has no successor."""
     thin = voxel_downsample(points, conf.voxel_size).select(*KEYS, "pid", "x", "y", "z", "intensity")
     rest = materialize(remove_ground(thin, conf), "scene-points")
-    steps = with_next(frames, conf.delta_t_fallback)
+    # few rows that all that follows looks up, while to make them may take all points
+    steps = materialize(with_next(frames, conf.delta_t_fallback), "steps", 0)
     flow = materialize(nn_flow(rest, steps, conf.velocity_max_dist), "flow")
     members, clusters = scene_clusters(flow, conf)
     # a frame without points off the ground was not clustered
     seen = flow.select(*KEYS).distinct().withColumn("clustered", F.lit(True))
     scenes = steps.join(seen, KEYS, "left").withColumn("clustered", F.coalesce("clustered", F.lit(False)))
-    return {"frames": scenes.select(*KEYS, "ts", "clustered"), "points": flow, "members": materialize(members, "members"), "clusters": materialize(clusters, "clusters")}
+    return {"frames": materialize(scenes.select(*KEYS, "ts", "clustered"), "frames", 0), "points": flow, "members": materialize(members, "members"), "clusters": materialize(clusters, "clusters")}
 
 
 def track_scenes(scenes: dict[str, DataFrame], conf: TrackConf = TrackConf(), rules: StaticConf = StaticConf()) -> dict[str, DataFrame]:

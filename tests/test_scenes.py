@@ -12,7 +12,7 @@ from gridloom.config import GridConf, SceneConf, TrackConf
 from gridloom.functions import motion
 from gridloom.operators import classify, cluster, components, distance_field, filters, fusion, ground, neighbours, overlay, tracking, voxel
 from gridloom.operators.components import connected_components
-from gridloom.plans import queries
+from gridloom.plans import queries, scenes
 
 POINTS = "sequence_id string, frame_idx int, pid long, x double, y double, z double, intensity double"
 
@@ -393,6 +393,19 @@ def test_sequence_from_files(spark, tmp_path):
     assert f"element face {out['faces'].count()}" in head
 
 
+def test_scenes_look_frames_up_without_the_points(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [("s", f, i, *(rng.random(3) * (2.0, 2.0, 1.0) + (0.0, 0.0, 2.0 * (i % 2))).tolist(), 1.0) for f in range(4) for i in range(80)]
+    spark.createDataFrame(rows, POINTS).write.parquet(f"{tmp_path}/points")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    made = scenes.process_frames(points, points.select("sequence_id", "frame_idx").distinct().withColumn("ts", F.col("frame_idx").cast("double")))
+    assert sorted(tuple(r) for r in made["frames"].collect()) == [("s", f, float(f), True) for f in range(3)]
+    found = scenes.track_scenes(made)
+    assert found["histories"].count() == found["observations"].where("survived").select("entity_id").distinct().count() > 0
+    # else all points are read again for each table that looks a frame up
+    assert not [f for t in (*made.values(), *found.values()) for f in t.inputFiles() if str(tmp_path) in f]
+
+
 def test_one_frame_makes_no_scene(spark):
     frames = spark.createDataFrame([("s", 0, 0.0)], "sequence_id string, frame_idx int, ts double")
     assert voxel.with_next(frames).count() == 0
